@@ -35,9 +35,9 @@ s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w ELSE li
 c AS (SELECT g, len(g) AS n, list_sort(list(doc_id)) AS ids FROM s GROUP BY g),
 k AS (SELECT row_number() OVER (ORDER BY ids) AS k, g, n, ids FROM c),
 e AS (SELECT k, n, unnest(g) AS t FROM k),
-p AS (SELECT a.k AS ka, b.k AS kb, a.n AS na, b.n AS nb, count(*) AS both FROM e a JOIN e b ON a.t = b.t AND a.k < b.k AND 10 * a.n >= 7 * b.n AND 10 * b.n >= 7 * a.n GROUP BY ALL)
-SELECT a.ids AS doc_ids_a, b.ids AS doc_ids_b, round(both::DOUBLE / (na + nb - both), 6) AS jaccard
-FROM p JOIN k a ON a.k = ka JOIN k b ON b.k = kb WHERE 10 * both >= 7 * (na + nb - both)
+p AS (SELECT a.k AS ka, b.k AS kb, a.n AS na, b.n AS nb, count(*) AS met FROM e a JOIN e b ON a.t = b.t AND a.k < b.k AND 10 * a.n >= 7 * b.n AND 10 * b.n >= 7 * a.n GROUP BY ALL)
+SELECT a.ids AS doc_ids_a, b.ids AS doc_ids_b, round(met::DOUBLE / (na + nb - met), 6) AS jaccard
+FROM p JOIN k a ON a.k = ka JOIN k b ON b.k = kb WHERE 10 * met >= 7 * (na + nb - met)
 UNION ALL SELECT ids, ids, 1.0::DOUBLE FROM k WHERE len(ids) > 1
 """
 

@@ -26,10 +26,10 @@ THRESHOLD = 0.5
 NEAR = 8
 LEXICON = """
 idiot idiots idiotic moron morons moronic stupid stupidity dumb dumbass imbecile cretin fool fools jerk jackass loser losers
-pathetic worthless useless trash garbage scum scumbag filth filthy vermin pig pigs swine rat clown clowns buffoon disgusting
-repulsive revolting ugly hideous freak creep pervert bastard bastards bitch bitches whore slut asshole arsehole ass dick
+pathetic worthless useless trash garbage scum scumbag filth filthy vermin swine clown clowns buffoon disgusting
+repulsive revolting ugly hideous freak creep pervert bastard bastards bitch bitches whore slut asshole arsehole
 prick cunt fuck fucking fucker motherfucker shit shitty bullshit crap damn retard retarded lunatic psycho nutjob hate hated
-despise kill die murder subhuman degenerate parasite coward liar traitor thug
+despise murder subhuman degenerate parasite coward liar traitor thug
 imbécile crétin connard salope ordure débile abruti dummkopf arschloch schwachkopf schlampe abschaum widerlich
 estúpido imbécil idiota cabrón puta basura asqueroso
 """.split()
