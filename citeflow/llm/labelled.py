@@ -37,7 +37,7 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class BoostedTrees:
     """Gradient-boosted regression trees on logistic loss, split on quantile bins."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 64, least: int = 10, ridge: float = 1.0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 64, least: int = 4, ridge: float = 1.0):
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) if len(c) else np.zeros(0) for c in x.T]
         # rates that are mostly 0 get an edge between 0 and the least positive value
         self.edges = [np.unique(np.append(e, c[c > 0].min() / 2)) if (c > 0).any() else e for e, c in zip(self.edges, x.T, strict=True)]

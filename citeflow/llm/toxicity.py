@@ -1,9 +1,10 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 Features of a whole text, made from its bytes: density and number of words of a lexicon of insults (plain, and once more
-after look-alike signs such as @ and 0 are read as letters), their nearness to a second-person pronoun, capitals, exclamation
-and question marks, and rates of obfuscated words. Trees are fitted on a bounded sample of labelled rows (SAMPLE),
-calibrated on rows held out of the fit; every document is scored.
+after look-alike signs such as @ and 0 are read as letters), density and number of words of a second lexicon, of words and word beginnings that labelled
+rows of their own part of the sample show to be toxic in whatever language they are in, the nearness of both to a second-person pronoun, capitals, exclamation
+and question marks, and rates of obfuscated words. The sample of labelled rows is bounded (SAMPLE): one part gives
+the second lexicon, one fits the trees, one calibrates them; every document is scored.
 
 Defined cases: a null or empty text has all features 0; without labels of both kinds all probabilities are the share
 of toxic labels (0 if none); ties share their fate; repeated rows are scored alike; an empty table
@@ -34,7 +35,7 @@ imbécile crétin connard salope ordure débile abruti dummkopf arschloch schwac
 estúpido imbécil idiota cabrón puta basura asqueroso
 """.split()
 SECOND_PERSON = "you your yours yourself u ur tu toi te vous votre ton ta tes du dich dir dein deine ihr euch usted ustedes tú ti".split()
-NAMES = ("density", "hits", "hidden_density", "hidden_hits", "near_you", "you_rate", "upper_rate", "capital_words", "mark_rate", "symbol_rate", "obfuscated_rate", "stretched_rate", "log_words")
+NAMES = ("density", "hits", "learnt_density", "learnt_hits", "hidden_density", "hidden_hits", "near_you", "you_rate", "upper_rate", "capital_words", "mark_rate", "symbol_rate", "obfuscated_rate", "stretched_rate", "log_words")
 _LOOK = FOLD.copy()
 for _a, _b in zip("@40$531!70", "aaosseiito", strict=True):
     _LOOK[ord(_a)] = ord(_b)
@@ -55,7 +56,44 @@ def tables(lexicon=LEXICON) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.unique(np.array([hash_of(w) for w in ws], np.uint64)) for ws in (lexicon, SECOND_PERSON))
 
 
-def _dense(data: np.ndarray, at: np.ndarray, lexicon: np.ndarray, second: np.ndarray) -> np.ndarray:
+#: Lengths in bytes of the word beginnings of the second lexicon; 0 is the whole word.
+BEGINNINGS = (0, 4, 5, 6, 8)
+ODDS = 25.0
+LEAST_DOCS = 5
+
+
+def _beginnings(folded: np.ndarray, at: np.ndarray):
+    """For each of BEGINNINGS: (index of the word, hash) of the words that are long enough; and the words' first in each row."""
+    start, end, first = words(folded, at, ALNUM)
+    for size in BEGINNINGS:
+        i = np.flatnonzero(end - start >= max(size, 3))
+        yield i, word_hashes(folded, start[i], start[i] + size if size else end[i]), first
+
+
+def learn(texts: list[str], y: np.ndarray) -> list[np.ndarray]:
+    """Sorted hashes, for each of BEGINNINGS, of what is ODDS times as common among toxic documents."""
+    texts, index = np.unique(np.array(texts, object), return_index=True) if len(texts) else (np.zeros(0, object), np.zeros(0, int))
+    y = y[index]
+    bad = int((y == 1).sum())
+    met: list[list[np.ndarray]] = [[] for _ in BEGINNINGS]
+    for lo, hi, data, at in chunks(pa.array(texts.tolist(), pa.string())):
+        label = y[lo:hi].astype(np.uint64)
+        for found, (i, h, first) in zip(met, _beginnings(FOLD[data], at), strict=True):
+            row = np.searchsorted(first, i, "right") - 1
+            both = np.unique((row.astype(np.uint64) << np.uint64(52)) | (h >> np.uint64(12)))
+            found.append(((both & np.uint64((1 << 52) - 1)) << np.uint64(1)) | label[(both >> np.uint64(52)).astype(np.int64)])
+    out = []
+    for found in met:
+        key, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+        name, inverse = np.unique(key >> np.uint64(1), return_inverse=True)
+        t = np.bincount(inverse, count * (key & np.uint64(1)), len(name))
+        n = np.bincount(inverse, count, len(name)) - t
+        odds = ((t + 0.1) / max(bad, 1)) / ((n + 0.5) / max(len(y) - bad, 1))
+        out.append(name[(t >= LEAST_DOCS) & (odds >= ODDS)])
+    return out
+
+
+def _dense(data: np.ndarray, at: np.ndarray, lexicon: np.ndarray, second: np.ndarray, learnt: list[np.ndarray]) -> np.ndarray:
     n = len(at) - 1
     folded = FOLD[data]
     start, end, first = words(folded, at, ALNUM)
@@ -63,15 +101,20 @@ def _dense(data: np.ndarray, at: np.ndarray, lexicon: np.ndarray, second: np.nda
     some, size = np.maximum(count, 1), np.maximum(np.diff(at), 1)
     h = word_hashes(folded, start, end)
     hit, you = _known(h, lexicon), _known(h, second)
+    taught = np.zeros(len(h), bool)
+    for table, (i, begins, _) in zip(learnt, _beginnings(folded, at), strict=True):
+        if len(table):
+            taught[i] |= _known(begins >> np.uint64(12), table)
     row = np.repeat(np.arange(n), count)
     # distance in words to the nearest second person of the same row, on either side
     place = np.arange(len(h))
     near = np.zeros(len(h), bool)
     if you.any():
         spots = place[you]
-        i = np.searchsorted(spots, place[hit])
+        mine = place[hit | taught]
+        i = np.searchsorted(spots, mine)
         for j in (np.maximum(i - 1, 0), np.minimum(i, len(spots) - 1)):
-            near[place[hit]] |= (np.abs(spots[j] - place[hit]) <= NEAR) & (row[spots[j]] == row[place[hit]])
+            near[mine] |= (np.abs(spots[j] - mine) <= NEAR) & (row[spots[j]] == row[mine])
     # words as they read with look-alikes resolved; edges that are only marks are cut by the lexicon's own hash
     s2, e2 = runs(_IN_WORD[data], at)
     r2 = np.searchsorted(at, s2, "right") - 1
@@ -100,42 +143,46 @@ def _dense(data: np.ndarray, at: np.ndarray, lexicon: np.ndarray, second: np.nda
         same[2:] = (folded[2:] == folded[1:-1]) & (folded[2:] == folded[:-2]) & _LETTER[data[2:]]
     bad, worse = totals(hit, first), np.bincount(r2[hidden], minlength=n)
     columns = (
-        bad / some, bad, worse / some, worse, totals(near, first) / some, totals(you, first) / some, totals(upper, at) / size, totals(shouted, first) / some,
+        bad / some, bad, totals(taught, first) / some, totals(taught, first), worse / some, worse, totals(near, first) / some, totals(you, first) / some, totals(upper, at) / size, totals(shouted, first) / some,
         totals(marks, at) / size, totals(symbol, at) / size, np.bincount(r2[odd], minlength=n) / some, totals(same, at) / size, np.log1p(count),
     )
     return np.stack([np.asarray(c, float) for c in columns], 1)
 
 
-def features(col: pa.Array, lexicon: np.ndarray, second: np.ndarray) -> np.ndarray:
-    parts = [_dense(data, at, lexicon, second) for _, _, data, at in chunks(col)]
+def features(col: pa.Array, lexicon: np.ndarray, second: np.ndarray, learnt: list[np.ndarray]) -> np.ndarray:
+    parts = [_dense(data, at, lexicon, second, learnt) for _, _, data, at in chunks(col)]
     return np.concatenate(parts) if parts else np.zeros((0, len(NAMES)))
 
 
 class Model:
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    def __init__(self, texts: list[str], y: np.ndarray, lexicon=LEXICON):
         order = np.random.default_rng(3).permutation(len(y))
-        held, fitted = order[: len(order) // 4], order[len(order) // 4 :]
-        self.trees = BoostedTrees(x[fitted], y[fitted])
+        taught, held, fitted = np.split(order, [len(order) * 2 // 5, len(order) * 3 // 5])
+        self.tables = (*tables(lexicon), learn([texts[i] for i in taught], y[taught]))
+        self.trees = BoostedTrees(self.features(pa.array([texts[i] for i in fitted], pa.string())), y[fitted])
         if len(held) and 0 < y[held].sum() < len(held) and 0 < y[fitted].sum() < len(fitted):
-            self.knots, self.value = isotonic(np.round(self.trees.score(x[held]), 9), y[held])
+            x = self.features(pa.array([texts[i] for i in held], pa.string()))
+            self.knots, self.value = isotonic(np.round(self.trees.score(x), 9), y[held])
         else:
             self.knots, self.value = np.zeros(1), np.full(1, float(y.mean()) if len(y) else 0.0)
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        return np.interp(np.round(self.trees.score(x), 9), self.knots, self.value)
+    def features(self, col: pa.Array) -> np.ndarray:
+        return features(col, *self.tables)
+
+    def probability(self, col: pa.Array) -> np.ndarray:
+        return np.interp(np.round(self.trees.score(self.features(col)), 9), self.knots, self.value)
 
 
 def fit(docs: DataFrame, labels: DataFrame, lexicon=LEXICON) -> Model:
-    texts, y = labelled_texts(docs, labels, "toxic", SAMPLE)
-    return Model(features(pa.array(texts, pa.string()), *tables(lexicon)), y)
+    return Model(*labelled_texts(docs, labels, "toxic", SAMPLE), lexicon)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, lexicon=LEXICON, model: Model | None = None) -> DataFrame:
     """(doc_id, probability, toxic) of each row of docs."""
-    model, known = model or fit(docs, labels, lexicon), tables(lexicon)
+    model = model or fit(docs, labels, lexicon)
 
     def of(col: pa.Array) -> pa.Array:
-        return pa.array(np.round(model.probability(features(col, *known)), 6))
+        return pa.array(np.round(model.probability(col), 6))
 
     scored = docs.select("doc_id", F.arrow_udf(of, "double")(F.col("text").cast("string")).alias("probability"))
     return scored.withColumn("toxic", F.col("probability") >= threshold)
