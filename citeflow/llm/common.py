@@ -6,9 +6,10 @@ at a time, so no Python object is made per document or per word.
 
 from __future__ import annotations
 
-import functools
 import os
+import sys
 import tempfile
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,11 +65,14 @@ _M_INV = np.uint64(pow(int(_M), -1, 1 << 64))
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@functools.lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _M), np.full(size, _M_INV)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    """Powers of _M and of its inverse; the process keeps the last, in a place that pickled functions do not carry along."""
+    held = sys.modules.setdefault("_citeflow_powers", types.ModuleType("_citeflow_powers"))
+    if getattr(held, "size", 0) < size:
+        up, down = np.full(size, _M), np.full(size, _M_INV)
+        up[0] = down[0] = 1
+        held.up, held.down, held.size = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64), size
+    return held.up, held.down
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:

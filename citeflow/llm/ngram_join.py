@@ -2,15 +2,15 @@
 
 A text is the set of its word n-grams (lower-cased runs of ASCII letters, digits and non-ASCII
 characters). Under one total order of all n-grams, two sets with Jaccard similarity of at least t share an
-n-gram among the first |x| - ceil(t|x|) + 1 of each. Documents with the same such prefix and the same size
-are collapsed into one group; groups that share a prefix n-gram and whose sizes allow the similarity become
+n-gram among the first |x| - ceil(t|x|) + 1 of each, and LEAST n-grams (or all that similar sets must share, if fewer)
+among the first |x| - ceil(t|x|) + LEAST. Documents with the same such prefix and the same size
+are collapsed into one group; groups that share that many prefix n-grams and whose sizes allow the similarity become
 candidate pairs; candidates are expanded to their members and verified on the whole sets.
 
 The order is rare-first where it matters: n-grams that make up more than HEAVY of what some partition of
 the corpus holds go last, by their count; the rest are ordered by their hash. The list of heavy n-grams has at
 most 1/HEAVY entries at any corpus size. Any order gives the same result, so counts that differ between two
-partitionings change only the work. A candidate pair is reported once, by the first partition in which the two
-groups are known to meet. Equal documents (equal sets) are one class throughout: no list of copies is
+partitionings change only the work. Equal documents (equal sets) are one class throughout: no list of copies is
 ever multiplied out.
 
 Defined cases: a null, empty or word-less text has no n-gram and matches nothing; a text of fewer than n words is
@@ -32,6 +32,8 @@ from citeflow.llm.common import ALNUM, chunks, cut, mix, row_key, word_hashes, w
 
 #: Share of a partition's n-grams from which one is heavy.
 HEAVY = 1e-6
+#: Prefix n-grams that a candidate pair must share.
+LEAST = 3
 _BITS = np.uint64(52)
 
 
@@ -61,9 +63,9 @@ def gram_sets(col: pa.Array, n: int):
 
 
 def prefix_length(size: np.ndarray, t: Fraction) -> np.ndarray:
-    """|x| - ceil(t |x|) + 1 in whole numbers."""
+    """|x| - ceil(t |x|) + LEAST in whole numbers."""
     size = size.astype(np.int64)
-    return size + (-t.numerator * size) // t.denominator + 1
+    return size + (-t.numerator * size) // t.denominator + LEAST
 
 
 class Order:
@@ -156,46 +158,39 @@ def signatures(docs: DataFrame, key: str, n: int, t: Fraction, order: Order) ->
     return docs.select(key, "text").mapInArrow(of, f"`{key}` {docs.schema[key].dataType.simpleString()}, size int, gid bigint, cid bigint")
 
 
-_SKETCH = 3
-
-
 def _token(gram: np.ndarray) -> np.ndarray:
     return (mix(gram, 9) >> np.uint64(32)).astype(np.uint32)
 
 
 def _postings(docs: DataFrame, n: int, t: Fraction, order: Order, buckets: int) -> DataFrame:
-    """(bucket, blob): prefix n-grams by bucket of their hash, with group, size and the group's first n-grams."""
+    """(bucket, blob): prefix n-grams by bucket of their hash, with group, and size."""
 
     def of(batches):
         for batch in batches:
             parts = []
             for lo, hi, row, gram in gram_sets(batch.column(0), n):
-                row, gram, place, size = order.prefixes(row, gram, hi - lo, t)
+                row, gram, _, size = order.prefixes(row, gram, hi - lo, t)
                 gid = group_ids(row, gram, size)
-                token = _token(gram)
-                sketch = np.full((hi - lo, _SKETCH), 0xFFFFFFFF, np.uint32)
-                head = place < _SKETCH
-                sketch[row[head], place[head]] = token[head]
-                parts.append((gid[row], size[row].astype(np.uint32), sketch[row], gram, token % np.uint32(buckets)))
+                parts.append((gid[row], size[row].astype(np.uint32), gram, _token(gram) % np.uint32(buckets)))
             if not parts:
                 continue
-            gid, size, sketch, gram, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
+            gid, size, gram, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
             # one record a group and bucket: groups of one batch that are equal collapse here
             by = np.lexsort((gram, gid, bucket))
-            gid, size, sketch, gram, bucket = gid[by], size[by], sketch[by], gram[by], bucket[by]
+            gid, size, gram, bucket = gid[by], size[by], gram[by], bucket[by]
             new = np.ones(len(gid), bool)
             new[1:] = (gid[1:] != gid[:-1]) | (bucket[1:] != bucket[:-1])
             fresh = new.copy()
             fresh[1:] |= gram[1:] != gram[:-1]
-            gid, size, sketch, gram, bucket, new = (x[fresh] for x in (gid, size, sketch, gram, bucket, new))
+            gid, size, gram, bucket, new = (x[fresh] for x in (gid, size, gram, bucket, new))
             head = np.flatnonzero(new)
-            count = np.diff(np.append(head, len(gid))).astype(np.uint16)
+            count = np.diff(np.append(head, len(gid))).astype(np.uint32)
             at, hat = np.searchsorted(bucket, np.arange(buckets + 1)), np.searchsorted(bucket[head], np.arange(buckets + 1))
             ids, blobs = [], []
             for b in np.flatnonzero(np.diff(at)):
                 h = head[hat[b] : hat[b + 1]]
                 ids.append(int(b))
-                blobs.append(np.uint32(len(h)).tobytes() + gid[h].tobytes() + size[h].tobytes() + sketch[h].tobytes() + count[hat[b] : hat[b + 1]].tobytes() + gram[at[b] : at[b + 1]].tobytes())
+                blobs.append(np.uint32(len(h)).tobytes() + gid[h].tobytes() + size[h].tobytes() + count[hat[b] : hat[b + 1]].tobytes() + gram[at[b] : at[b + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     return docs.select("text").mapInArrow(of, "bucket int, blob binary")
@@ -205,27 +200,23 @@ def _unblob(blob: bytes):
     k = int(np.frombuffer(blob, np.uint32, 1)[0])
     at = 4
     out = []
-    for kind, n in ((np.uint64, k), (np.uint32, k), (np.uint32, k * _SKETCH), (np.uint16, k)):
-        out.append(np.frombuffer(blob, kind, n, at))
+    for kind in (np.uint64, np.uint32, np.uint32):
+        out.append(np.frombuffer(blob, kind, k, at))
         at += out[-1].nbytes
-    gid, size, sketch, count = out
-    return gid, size, sketch.reshape(-1, _SKETCH), count, np.frombuffer(blob, np.uint64, -1, at)
+    return *out, np.frombuffer(blob, np.uint64, -1, at)
 
 
-def _meet(t: Fraction, buckets: int):
-    """Group pairs of one bucket that share an n-gram, whose sizes fit, and that no earlier bucket is known to report."""
+def _meet(t: Fraction):
+    """Group pairs of one bucket that share n-grams and whose sizes fit: how many they share here, and how many they must."""
 
     def of(table: pa.Table) -> pa.Table:
-        bucket = table["bucket"][0].as_py()
         parts = [_unblob(b.as_py()) for b in table["blob"]]
         every = np.concatenate([p[0] for p in parts])
         groups, inverse = np.unique(every, return_inverse=True)
         size = np.zeros(len(groups), np.int64)
         size[inverse] = np.concatenate([p[1] for p in parts])
-        sketch = np.zeros((len(groups), _SKETCH), np.uint32)
-        sketch[inverse] = np.concatenate([p[2] for p in parts])
-        gram = np.concatenate([p[4] for p in parts])
-        who = np.repeat(inverse, np.concatenate([p[3] for p in parts]))
+        gram = np.concatenate([p[3] for p in parts])
+        who = np.repeat(inverse, np.concatenate([p[2] for p in parts]))
         rank = np.argsort(np.argsort(size, kind="stable"))  # groups by size
         by = np.lexsort((rank[who], gram))
         gram, who = gram[by], who[by]
@@ -240,7 +231,14 @@ def _meet(t: Fraction, buckets: int):
         top = int(max(size.max(initial=0), most.max(initial=0))) + 1
         reach = np.searchsorted(run * top + size[who], run * top + most, "right")
         partners = np.maximum(np.minimum(reach, last) - np.arange(len(gram)) - 1, 0)
-        found: list[np.ndarray] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def fold() -> tuple[np.ndarray, np.ndarray]:
+            if not found:
+                return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            value, inverse = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
+            return value, np.bincount(inverse, np.concatenate([c for _, c in found]), len(value)).astype(np.int64)
+
         held, i, edges = 0, 0, np.concatenate([[0], np.cumsum(partners)])
         while i < len(gram):
             j = max(i + 1, int(np.searchsorted(edges, edges[i] + 2_000_000, "right")) - 1)
@@ -249,22 +247,18 @@ def _meet(t: Fraction, buckets: int):
                 a = np.repeat(np.arange(i, j), n)
                 b = a + 1 + np.arange(len(a)) - np.repeat(edges[i:j] - edges[i], n)
                 x, y = who[a], who[b]
-                pair = np.unique(np.minimum(x, y).astype(np.uint64) * np.uint64(len(groups)) + np.maximum(x, y).astype(np.uint64))
+                pair = np.unique(np.minimum(x, y).astype(np.uint64) * np.uint64(len(groups)) + np.maximum(x, y).astype(np.uint64), return_counts=True)
                 found.append(pair)
-                held += len(pair)
+                held += len(pair[0])
                 if held > 8_000_000:
-                    found = [np.unique(np.concatenate(found))]
-                    held = len(found[0])
+                    found[:] = [fold()]
+                    held = len(found[0][0])
             i = j
-        pair = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        pair, shared = fold()
         x, y = (pair // np.uint64(len(groups) or 1)).astype(np.int64), (pair % np.uint64(len(groups) or 1)).astype(np.int64)
-        known = np.zeros(len(pair), bool)
-        for p in range(_SKETCH):
-            earlier = (sketch[x, p] % np.uint32(buckets) < bucket) & (sketch[x, p] != 0xFFFFFFFF)
-            known |= earlier & (sketch[x, p][:, None] == sketch[y]).any(1)
-        x, y = x[~known], y[~known]
-        a, b = groups[x], groups[y]
-        return pa.table({"ga": np.minimum(a.view(np.int64), b.view(np.int64)), "gb": np.maximum(a.view(np.int64), b.view(np.int64))})
+        must = np.minimum(LEAST, -(-t.numerator * np.maximum(size[x], size[y]) // t.denominator))
+        a, b = groups[x].view(np.int64), groups[y].view(np.int64)
+        return pa.table({"ga": np.minimum(a, b), "gb": np.maximum(a, b), "n": shared.astype(np.int32), "must": must.astype(np.int32)})
 
     return of
 
@@ -339,8 +333,8 @@ def similar_classes(docs: DataFrame, n: int = 2, threshold: float = 0.7) -> tupl
     )
     grams = members.agg(F.sum((1 - threshold) * F.col("size"))).first()[0] or 0
     buckets = int(min(60_000, max(32, grams // 2_000_000)))
-    met = _postings(base, n, t, order, buckets).groupBy("bucket").applyInArrow(_meet(t, buckets), "ga bigint, gb bigint")
-    pairs = cut(met.distinct())
+    met = _postings(base, n, t, order, buckets).groupBy("bucket").applyInArrow(_meet(t), "ga bigint, gb bigint, n int, must int")
+    pairs = cut(met.groupBy("ga", "gb").agg(F.sum("n").alias("n"), F.max("must").alias("must")).where("n >= must").select("ga", "gb"))
     classes = members.groupBy("gid", "cid").agg(F.min("_row").alias("_row"))
     within = classes.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     pairs = pairs.unionByName(within)
