@@ -360,9 +360,9 @@ def lru_eviction(spark, d):
     return state.evict(_t(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", "doc_id", 200_000).select("doc_id")
 
 
-@_query("WITH a AS (SELECT user_id AS domain, event_id % 3 AS r, CASE event_type WHEN 'view' THEN 'ok' WHEN 'error' THEN 'nxdomain' WHEN 'click' THEN 'servfail' ELSE 'timeout' END AS s FROM events WHERE event_id % 40 < 3), g AS (SELECT domain, min(CASE WHEN s = 'ok' THEN s END) AS ok, count(*) FILTER (s = 'nxdomain') AS nx, count(*) FILTER (s = 'servfail') AS sf, count(*) FILTER (s = 'timeout') AS t, count(DISTINCT s) = 1 AS resolvers_agreed FROM a GROUP BY 1) SELECT domain, CASE WHEN ok IS NOT NULL THEN 'ok' WHEN nx >= 2 THEN 'nxdomain' WHEN nx = 1 THEN 'error' WHEN sf > 0 THEN 'servfail' WHEN t > 0 THEN 'timeout' ELSE 'error' END AS dns_status, resolvers_agreed FROM g")
+@_query("WITH a AS (SELECT event_id // 3 AS domain, event_id % 3 AS r, CASE event_type WHEN 'view' THEN 'ok' WHEN 'error' THEN 'nxdomain' WHEN 'click' THEN 'servfail' ELSE 'timeout' END AS s FROM events), g AS (SELECT domain, min(CASE WHEN s = 'ok' THEN s END) AS ok, count(*) FILTER (s = 'nxdomain') AS nx, count(*) FILTER (s = 'servfail') AS sf, count(*) FILTER (s = 'timeout') AS t, count(DISTINCT s) = 1 AS resolvers_agreed FROM a GROUP BY 1) SELECT domain, CASE WHEN ok IS NOT NULL THEN 'ok' WHEN nx >= 2 THEN 'nxdomain' WHEN nx = 1 THEN 'error' WHEN sf > 0 THEN 'servfail' WHEN t > 0 THEN 'timeout' ELSE 'error' END AS dns_status, resolvers_agreed FROM g")
 def dns_quorum(spark, d):
-    a = _t(spark, d, "events").where("event_id % 40 < 3").select(F.col("user_id").alias("domain"), (F.col("event_id") % 3).alias("resolver_no"), F.expr("CASE event_type WHEN 'view' THEN 'ok' WHEN 'error' THEN 'nxdomain' WHEN 'click' THEN 'servfail' ELSE 'timeout' END").alias("status"))
+    a = _t(spark, d, "events").select(F.floor(F.col("event_id") / 3).alias("domain"), (F.col("event_id") % 3).alias("resolver_no"), F.expr("CASE event_type WHEN 'view' THEN 'ok' WHEN 'error' THEN 'nxdomain' WHEN 'click' THEN 'servfail' ELSE 'timeout' END").alias("status"))
     return classify.dns_quorum(a).select("domain", "dns_status", "resolvers_agreed")
 
 
