@@ -294,8 +294,11 @@ def _verify(t: Fraction):
         by_gid: dict[int, list[int]] = {}
         gid, cid = sets["gid"].to_pylist(), sets["cid"].to_pylist()
         grams = [unpack40(b.as_py()) for b in sets["grams"]]
+        met = set()  # a row that is repeated as a whole comes several times
         for i, g in enumerate(gid):
-            by_gid.setdefault(g, []).append(i)
+            if (g, cid[i]) not in met:
+                met.add((g, cid[i]))
+                by_gid.setdefault(g, []).append(i)
         out: list[tuple[int, int, int, int, int]] = []
         for a, b in zip(pairs["ga"].to_pylist(), pairs["gb"].to_pylist(), strict=True):
             own, other = by_gid.get(a, []), by_gid.get(b, [])
@@ -341,15 +344,18 @@ def similar_classes(docs: DataFrame, n: int = 2, threshold: float = 0.7) -> tupl
     # a group's home is the least group it may match, so that copies of one document are verified in one place
     ends = pairs.select("ga", F.col("gb").alias("o")).unionByName(pairs.select(F.col("gb").alias("ga"), F.col("ga").alias("o")))
     cells = int(max(8, members.count() // 2000))
-    home = ends.groupBy("ga").agg(F.min("o").alias("o")).select(F.col("ga").alias("g"), F.pmod(F.xxhash64(F.least("ga", "o")), F.lit(cells)).cast("int").alias("home"))
-    home = cut(home)
+    ends = cut(ends)
+    least = ends.groupBy("ga").agg(F.least("ga", F.min("o")).alias("o"))
+    for _ in range(2):  # groups that are linked over several steps agree on one home, so that few sets are needed in two places
+        least = ends.join(least.select(F.col("ga").alias("o"), F.col("o").alias("l")), "o").groupBy("ga").agg(F.least("ga", F.min("l")).alias("o"))
+    home = cut(least.select(F.col("ga").alias("g"), F.pmod(F.xxhash64("o"), F.lit(cells)).cast("int").alias("home")))
     keyed = pairs.join(home.select(F.col("g").alias("ga"), F.col("home").alias("ha")), "ga").join(home.select(F.col("g").alias("gb"), F.col("home").alias("hb")), "gb")
     keyed = cut(keyed.select((F.least("ha", "hb").cast("bigint") * cells + F.greatest("ha", "hb")).alias("cell"), "ga", "gb"))
     wanted = keyed.select(F.col("cell").alias("c"), F.explode(F.array("ga", "gb")).alias("gid")).distinct()
     reps = classes.join(home.select(F.col("g").alias("gid")), "gid", "left_semi")
     texts = base.join(reps.select("_row"), "_row", "left_semi")
     blobs = _set_blobs(texts, "_row", n)
-    sets = wanted.join(reps, "gid").join(blobs, "_row").dropDuplicates(["c", "gid", "cid"]).select("c", "gid", "cid", "grams")
+    sets = wanted.join(reps, "gid").join(blobs, "_row").select("c", "gid", "cid", "grams")
     found = keyed.groupBy("cell").cogroup(sets.groupBy("c")).applyInArrow(_verify(t), _PAIR)
     return members, cut(found.distinct())
 
