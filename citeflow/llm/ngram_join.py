@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from citeflow.llm.common import ALNUM, chunks, cut, mix, row_key, word_hashes, words
 
 #: Share of a partition's n-grams from which one is heavy.
-HEAVY = 1e-6
+HEAVY = 2e-7
 #: Prefix n-grams that a candidate pair must share.
-LEAST = 3
+LEAST = 4
 _BITS = np.uint64(52)
 
 
