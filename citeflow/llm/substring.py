@@ -151,6 +151,11 @@ def _records(batches, buckets: int):
         nonlocal held, size
         doc, key, pos, fp, h = (np.concatenate(x) for x in zip(*held, strict=True))
         held, size = [], 0
+        # rows that are repeated as a whole meet themselves: such equals are one window
+        by = np.lexsort((pos, key, doc, h, fp))
+        again = np.zeros(len(by), bool)
+        again[by[1:]] = np.logical_and.reduce([x[by][1:] == x[by][:-1] for x in (fp, h, doc, key, pos)])
+        doc, key, pos, fp, h = (x[~again] for x in (doc, key, pos, fp, h))
         # a window that comes earlier in this part of the corpus is repeated; only first ones go on with their hash
         by = np.lexsort((pos, key, doc, h, fp))
         new = np.ones(len(by), bool)
