@@ -7,10 +7,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def agreed(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of each doc_id whose labels are all 0 or all 1."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    return known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y1")).where("y = y1").select("doc_id", "y")
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[str], np.ndarray]:
     """(texts, 0/1 labels) of at most `most` labelled documents, taken by the hash of their doc_id."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    taken = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y1")).where("y = y1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    taken = agreed(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(taken, "doc_id").select("doc_id", "text", "y").collect()
     rows.sort(key=lambda r: (r[0], r[1]))
     return [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from citeflow.llm import substring
+from citeflow.llm import preference, substring
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "nu", "re", "so", "ta") for b in ("ba", "do", "fi", "gu", "he", "jo", "ku", "la")]
 
@@ -21,3 +22,18 @@ def test_rows_repeated_as_a_whole_do_not_repeat_themselves(spark, parts):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts, "doc_id")
     assert {tuple(r) for r in substring.repeated_spans(docs).collect()} == {(3, 1, 61)}
     assert sorted((r.doc_id, r.text.strip()) for r in substring.deduplicate(docs).collect()) == [(1, text), (1, text), (2, passage + " tail"), (3, "head"), (3, "head")]
+
+
+def test_ranking_threshold_covers_labels_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(preference, "SAMPLE", 40)
+    rng = random.Random(6)
+    good = [prose(rng, rng.randint(5, 90)).capitalize() + "." for _ in range(400)]
+    bad = [" ".join(w.upper() + "!!" for w in rng.choices(WORDS, k=60)) for _ in range(100)]
+    rows = [*enumerate(good + bad), (0, good[0]), (500, None), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    told = spark.createDataFrame([(i, int(i < 400 or i == 500)) for i in range(501) if i % 5] + [(500, 1)], "doc_id bigint, quality int")
+    got = preference.rank(docs, told, quantile=0.1).collect()
+    edge = np.quantile([r.score for r in got if r.doc_id is not None and r.doc_id < 400 and r.doc_id % 5], 0.1)
+    # doc_id 500 is labelled good but has no text, and doc_id 0 has no label
+    assert len(got) == len(rows) and [r.keep for r in got] == [bool(r.score >= edge) for r in got]
+    assert any(r.keep for r in got) and not all(r.keep for r in got)
