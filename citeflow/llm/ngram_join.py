@@ -363,13 +363,14 @@ def similar_classes(docs: DataFrame, n: int = 2, threshold: float = 0.7) -> tupl
 def join_documents(docs: DataFrame, n: int = 2, threshold: float = 0.7) -> DataFrame:
     """(doc_ids_a, doc_ids_b, jaccard): every two documents of docs whose similarity is at least threshold are in
     the two lists of one row. A class of two or more equal documents is one row with the same list twice;
-    a pair of unequal classes is one row, the class with the lesser first doc_id first.
+    a pair of unequal classes is one row, the class with the lesser first doc_id first. Null doc_ids are listed, last.
     """
     members, pairs = similar_classes(docs, n, threshold)
-    lists = cut(members.groupBy("cid").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"), F.count(F.lit(1)).alias("n")))
+    lists = cut(members.groupBy("cid").agg(F.array_sort(F.transform(F.collect_list(F.struct("doc_id")), lambda x: x["doc_id"])).alias("ids"), F.count(F.lit(1)).alias("n")))
     equal = lists.where("n > 1").select(F.col("ids").alias("doc_ids_a"), F.col("ids").alias("doc_ids_b"), F.lit(1.0).alias("jaccard"))
     two = pairs.join(lists.select(F.col("cid").alias("ca"), F.col("ids").alias("a")), "ca").join(lists.select(F.col("cid").alias("cb"), F.col("ids").alias("b")), "cb")
-    swap = F.col("a") > F.col("b")
+    by = lambda ids: F.transform(ids, lambda x: F.struct(x.isNull(), x))
+    swap = by(F.col("a")) > by(F.col("b"))
     jaccard = F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6)
     return equal.unionByName(two.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("doc_ids_a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("doc_ids_b"), jaccard.alias("jaccard")))
 
@@ -410,10 +411,11 @@ def deduplicate(docs: DataFrame, n: int = 2, threshold: float = 0.7) -> DataFram
     """docs without all but one document of each group of similar ones; of rows that are repeated as a whole one stays.
     Rows without an n-gram stay.
     """
-    gone = cut(groups(docs, n, threshold).where("not stays").select("_row").distinct())
+    grouped = cut(groups(docs, n, threshold).select("_row", "stays"))
+    gone = grouped.where("not stays").select("_row").distinct()
     keyed = docs.withColumn("_citeflow_row", row_key("doc_id", "text"))
     kept = keyed.join(gone.withColumnRenamed("_row", "_citeflow_row"), "_citeflow_row", "left_anti")
-    twice = docs.select(row_key("doc_id", "text").alias("k")).groupBy("k").count().where("count > 1")
+    twice = cut(grouped.groupBy(F.col("_row").alias("k")).count().where("count > 1"))
     if not twice.isEmpty():
         again = kept.join(twice.withColumnRenamed("k", "_citeflow_row"), "_citeflow_row", "left_semi").dropDuplicates(["_citeflow_row"])
         kept = kept.join(twice.withColumnRenamed("k", "_citeflow_row"), "_citeflow_row", "left_anti").unionByName(again)
