@@ -41,7 +41,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("ngram_jaccard_join", near_duplicates), ("substring_dedup", repeated_passages), ("source_mixing", mixture), ("best_fit_packing", sequences)]
 
-#: Expectation-maximisation and best-fit packing are beyond SQL; tests hold run() against a brute-force version.
+#: Expectation-maximisation and best-fit packing are beyond SQL; no test runs the stages in sequence.
 ORACLE_SQL = None
 
 
