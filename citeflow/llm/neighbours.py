@@ -28,6 +28,8 @@ EF = 96
 BUILD_EF = 64
 SHARD_ROWS = 16_384
 BLOCK_ROWS = 4_096
+#: Similarities that are equal when rounded, as they are shown, differ by less.
+TIE = 1e-5
 
 
 def _beam(vectors: np.ndarray, layer: np.ndarray, queries: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,13 +213,14 @@ _GRAPH = "shard int, dim int, vectors binary, ids binary, edges binary, original
 
 
 def _build(table: pa.Table) -> pa.Table:
-    """One row: a shard's distinct vectors, the row keys that share each, and its graph."""
+    """One row: a shard's distinct vectors, the row keys that share each, by vec_id (null last), and its graph."""
     by = np.argsort(table["row"].to_numpy(), kind="stable")
     v = _matrix(table["v"].combine_chunks())[by]
     key = table["row"].to_numpy()[by]
+    null, name = np.asarray(table["vec_id"].is_null())[by], table["vec_id"].fill_null(0).to_numpy()[by]
     distinct, inverse = np.unique(v, axis=0, return_inverse=True)
     inverse = inverse.ravel()
-    order = np.lexsort((key, inverse))
+    order = np.lexsort((key, name, null, inverse))
     edges = np.searchsorted(inverse[order], np.arange(len(distinct) + 1))
     g = Graph(distinct)
     row = {
@@ -240,7 +243,9 @@ def _load(row: dict) -> tuple[Graph, np.ndarray, np.ndarray]:
 
 
 def _search(k: int, ef: int):
-    """For each (block of queries, shard): each query's best k + 1 rows of the shard, by row key, and all that tie with the last."""
+    """For each (block of queries, shard): each query's best k + 1 rows of the shard, by row key, and all that tie with the last:
+    of rows with one vector the first k + 1 by vec_id, of vectors those among the ef that the search holds.
+    """
 
     def of(batches):
         held, graph = None, None
@@ -251,14 +256,17 @@ def _search(k: int, ef: int):
                 g, ids, edges = graph
                 q = np.frombuffer(row["queries"], np.float32).reshape(-1, row["dim"])
                 rows = np.frombuffer(row["query_ids"], np.int64)
-                nodes, sims = g.search(q, k + 1, ef)
+                nodes, sims = g.search(q, max(k + 1, ef), ef)
                 use = nodes >= 0
                 who, node, sim = np.nonzero(use)[0], nodes[use], sims[use]
-                # a node stands for all rows with its vector; once k + 1 rows are reached, later nodes add none
+                # a node stands for all rows with its vector; once k + 1 rows are reached, later nodes add none, but those that tie
                 size = np.diff(edges)[node]
                 total = np.cumsum(size)
                 start = np.concatenate([[0], total])[np.searchsorted(who, np.arange(len(rows)))]
-                keep = total - size - start[who] < k + 1
+                need = total - size - start[who] < k + 1
+                least = np.full(len(rows), np.inf)
+                np.minimum.at(least, who[need], sim[need])
+                keep = sim >= least[who] - TIE
                 who, node, sim, size = who[keep], node[keep], sim[keep], np.minimum(size[keep], k + 1)
                 a = np.repeat(np.arange(len(node)), size)
                 inside = np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)
@@ -279,7 +287,7 @@ def knn(vectors: DataFrame, k: int = K, ef: int = EF, shard_rows: int = SHARD_RO
     common = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     n, dim = (common["count"], common["n"]) if common else (0, 0)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    unit = good.where(F.size("embedding") == dim).withColumn("norm", norm).where("norm > 0").select("row", F.transform("embedding", lambda x: (x / F.col("norm")).cast("float")).alias("v"))
+    unit = good.where(F.size("embedding") == dim).withColumn("norm", norm).where("norm > 0").select("row", "vec_id", F.transform("embedding", lambda x: (x / F.col("norm")).cast("float")).alias("v"))
     shards = max(1, -(-n // shard_rows))
     blocks = max(1, -(-n // BLOCK_ROWS))
     dealt = unit.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))

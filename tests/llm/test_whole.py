@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from citeflow.llm import ngram_join, preference, queries, substring
+from citeflow.llm import neighbours, ngram_join, preference, queries, substring
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "nu", "re", "so", "ta") for b in ("ba", "do", "fi", "gu", "he", "jo", "ku", "la")]
 
@@ -56,3 +56,13 @@ def test_join_keeps_rows_without_an_ngram(spark):
     rows = [(1, None, "a"), (1, None, "b"), (2, "", "a"), (2, "", "b"), (None, "?!", "a"), (None, "?!", "b"), (3, text, "a"), (3, text, "b"), (4, text, "a")]
     kept = ngram_join.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
     assert sorted(map(repr, map(tuple, [r for r in kept if r.doc_id != 3]))) == sorted(map(repr, rows[:6])) and [r.doc_id for r in kept].count(3) == 1
+
+
+def test_neighbours_of_equal_similarity_are_ordered_by_id(spark):
+    e = np.eye(20, dtype=np.float32)
+    same = [(i, e[0].tolist()) for i in range(130, 100, -1)] + [(None, e[0].tolist())]
+    tied = [(i, (0.6 * e[1] + s * 0.8 * e[j]).tolist()) for i, (j, s) in zip(range(230, 200, -1), ((j, s) for j in range(2, 17) for s in (1, -1)), strict=True)]
+    docs = spark.createDataFrame([*same, *tied, (300, e[1].tolist())], "vec_id bigint, embedding array<float>").coalesce(1)
+    got = {r.vec_id: r for r in neighbours.knn(docs).collect()}
+    assert got[101].neighbours == list(range(102, 112)) and got[130].neighbours == list(range(101, 111)) == got[None].neighbours
+    assert got[300].neighbours == list(range(201, 211)) and set(got[300].similarities) == {0.6}
