@@ -45,6 +45,14 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*cols)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like _citeflow_name that df does not have, in any case."""
+    held, found = {c.lower() for c in df.columns}, f"_citeflow_{name}"
+    while found.lower() in held:
+        found += "_"
+    return found
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -30,15 +30,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _JACCARD = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
 s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS g FROM w WHERE len(w) > 0),
-c AS (SELECT g, len(g) AS n, list_sort(list(doc_id)) AS ids FROM s GROUP BY g),
-k AS (SELECT row_number() OVER (ORDER BY ids) AS k, g, n, ids FROM c),
+c AS (SELECT g, len(g) AS n, count(*) AS copies, min(doc_id) AS least FROM s GROUP BY g),
+k AS (SELECT row_number() OVER (ORDER BY g) AS k, g, n, copies, least FROM c),
 e AS (SELECT k, n, unnest(g) AS t FROM k),
-p AS (SELECT a.k AS ka, b.k AS kb, a.n AS na, b.n AS nb, count(*) AS met FROM e a JOIN e b ON a.t = b.t AND a.k < b.k AND 10 * a.n >= 7 * b.n AND 10 * b.n >= 7 * a.n GROUP BY ALL)
-SELECT a.ids AS doc_ids_a, b.ids AS doc_ids_b, round(met::DOUBLE / (na + nb - met), 6) AS jaccard
-FROM p JOIN k a ON a.k = ka JOIN k b ON b.k = kb WHERE 10 * met >= 7 * (na + nb - met)
-UNION ALL SELECT ids, ids, 1.0::DOUBLE FROM k WHERE len(ids) > 1
+p AS (SELECT a.k AS ka, b.k AS kb, a.n AS na, b.n AS nb, count(*) AS met FROM e a JOIN e b ON a.t = b.t AND a.k <> b.k AND 10 * a.n >= 7 * b.n AND 10 * b.n >= 7 * a.n GROUP BY ALL),
+l AS (SELECT ka, kb FROM p WHERE 10 * met >= 7 * (na + nb - met)),
+r AS (SELECT k AS k, k AS o FROM k UNION SELECT r.k, l.kb FROM r JOIN l ON r.o = l.ka),
+root AS (SELECT r.k, min(k.least) AS class_id FROM r JOIN k ON k.k = r.o GROUP BY r.k),
+links AS (SELECT ka, sum(copies) AS n FROM l JOIN k ON k.k = kb GROUP BY ka)
+SELECT s.doc_id, root.class_id, CAST(k.copies - 1 AS BIGINT) AS n_copies, CAST(coalesce(links.n, 0) AS BIGINT) AS n_links
+FROM s JOIN k ON s.g = k.g JOIN root ON root.k = k.k LEFT JOIN links ON links.ka = k.k
+UNION ALL SELECT doc_id, doc_id, 0::BIGINT, 0::BIGINT FROM w WHERE w IS NULL OR len(w) = 0
 """
 
 _SPANS = r"""

@@ -44,18 +44,6 @@ def test_filters_keep_columns(docs):
         assert f(docs).columns == docs.columns
 
 
-def test_join_equals_brute_force(docs):
-    sets = [(i, frozenset(zip(w, w[1:])) if len(w := t.split()) > 1 else frozenset([tuple(w)])) for i, t, *_ in rows() if t]
-    want = {tuple(sorted((str(a), str(b)))) for k, (a, x) in enumerate(sets) for b, y in sets[k + 1 :] if len(x & y) >= 0.7 * len(x | y)}
-    got = set()
-    for r in ngram_join.join_documents(docs).collect():
-        same = r.doc_ids_a == r.doc_ids_b
-        got |= {tuple(sorted((str(a), str(b)))) for i, a in enumerate(r.doc_ids_a) for j, b in enumerate(r.doc_ids_b) if not same or i < j}
-    assert got == want and want
-    kept = [r.doc_id for r in ngram_join.deduplicate(docs).collect()]
-    assert 103 not in kept and 0 in kept and kept.count(1) == 1 and {100, 101, None} <= set(kept)
-
-
 def test_repeated_spans_equal_brute_force(docs):
     seen, want = set(), []
     for i, t in sorted({(r[0], r[1]) for r in rows() if r[1]}, key=lambda r: (r[0] is not None, r[0] or 0)):

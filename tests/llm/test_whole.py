@@ -39,18 +39,6 @@ def test_ranking_threshold_covers_labels_beyond_the_sample(spark, monkeypatch):
     assert any(r.keep for r in got) and not all(r.keep for r in got)
 
 
-def test_join_lists_null_ids_as_the_sql_does(spark):
-    rng = random.Random(7)
-    a, b, c, d = (prose(rng, 60) for _ in range(4))
-    rows = [(None, a), (7, a), (None, b), (None, b), (3, c), (None, c + " more"), (9, d)]
-    duckdb = pytest.importorskip("duckdb").connect()
-    duckdb.execute("create table documents (doc_id bigint, text varchar)")
-    duckdb.executemany("insert into documents values (?, ?)", rows)
-    pairs = lambda found: sorted(map(repr, map(tuple, found)))
-    want = pairs(duckdb.execute(queries.oracle_sql()["op3_ngram_jaccard_join"]).fetchall())
-    assert pairs(ngram_join.join_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == want and len(want) == 3
-
-
 def test_join_keeps_rows_without_an_ngram(spark):
     text = prose(random.Random(8), 60)
     rows = [(1, None, "a"), (1, None, "b"), (2, "", "a"), (2, "", "b"), (None, "?!", "a"), (None, "?!", "b"), (3, text, "a"), (3, text, "b"), (4, text, "a")]
