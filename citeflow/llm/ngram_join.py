@@ -44,6 +44,8 @@ SLICE = 1 << 18
 FAN_IN = 128
 #: Classes of a cluster to a block.
 BLOCK = 1024
+#: Pairs between clusters up to which the keys of their texts (16 bytes each) are broadcast; beyond, texts are moved.
+FEW = 500_000
 _BITS = np.uint64(52)
 
 
@@ -483,8 +485,10 @@ def similar(docs: DataFrame, n: int = 2, threshold: float = 0.7) -> tuple[DataFr
     high = expanded.join(many, "a").withColumn("high", F.pmod(F.hash("b"), F.col("blocks")) + 1)
     ends = high.select(F.col("a").alias("cluster"), "high", F.lit(0).alias("side"), F.col("a").alias("cid"), F.col("na").alias("n")).distinct().unionByName(high.select(F.col("a").alias("cluster"), "high", F.lit(1).alias("side"), F.col("b").alias("cid"), F.col("nb").alias("n")))
     wanted = expanded.select(F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("ra").alias("rep")), F.struct(F.col("b").alias("cid"), F.col("rb").alias("rep")))).alias("x")).select("x.cid", "x.rep").distinct()
-    sets = _sets(wanted.join(text, "rep").select("cid", "text"), n)
     number = expanded.count()
+    if number <= FEW:  # at most 2 FEW keys: the texts stay where they are
+        wanted = F.broadcast(wanted)
+    sets = _sets(text.join(wanted, "rep").select("cid", "text"), n)
     between = _verified(ends.join(sets, "cid").select("cluster", F.lit(0).alias("low"), "high", "side", "cid", "n", "blob"), t, number // 4_000)
     found = cut(within.unionByName(between))
     roots = components(found, "cid", "root").select(F.col("node").alias("cid"), "root")
