@@ -5,13 +5,13 @@ times as its budget holds it (epochs), and what is left is filled by Efraimidis-
 exponential key -ln(u) / w, u from a hash of the row and the seed and w its quality weight; rows are taken
 in the order of their keys while the sum of their tokens stays within what is left.
 
-The order within a source is never established as a whole. Keys are cut to ranges of 1 - exp(-key), whose number
-follows the source's rows; ranges are summed, and only the range in which a source's budget ends is sorted.
-So a source that holds most of the corpus is no single task.
+The order within a source is never established as a whole. The range of its keys is cut to CELLS, which are summed, and the cell in
+which the budget ends is cut again, until it holds RANGE_ROWS rows or one key; only these rows are sorted.
+So a source that holds most of the corpus is no single task, whatever the distribution of its weights.
 
 Defined cases: a null or empty text has no token: it comes with each whole epoch and never in the fraction (it fills
 no budget); a null source is a source of its own; ties of keys (rows repeated as a whole) are taken in the
-order of (doc_id, row key) and, as equals, together, if the budget holds them all; weights must be positive and a source without a given weight gets
+order of (doc_id, null first, row key) and, as equals, together, if the budget holds them all; weights must be positive and a source without a given weight gets
 none of the budget; an empty table gives an empty result; other columns pass through.
 """
 
@@ -25,10 +25,10 @@ from citeflow.llm.common import cut
 #: Tempering: a source's share of the mixture goes with its tokens to this power.
 TEMPERATURE = 0.7
 SEED = 17
-#: Rows of a source to a range of keys.
+#: Rows of a source that are sorted, and cells to a range of keys.
 RANGE_ROWS = 20_000
+CELLS = 1024
 _BAD = "#$%&*@^~<>{}[]=+_|!?0123456789"
-_P = "_citeflow_"
 
 
 def n_tokens(text: Column) -> Column:
@@ -48,63 +48,77 @@ def uniform(seed: int) -> Column:
     return (F.conv(F.substring(F.md5(told), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = SEED) -> DataFrame:
-    """docs with _citeflow_epoch: the rows of the mixture, one for each time that a row is taken.
+def _row_key(d: Column, text: Column) -> Column:
+    return F.xxhash64(d, text)
 
-    weights: target share by source; by default tempered by TEMPERATURE. total: tokens of the mixture; by
-    default those of docs.
+
+def _limits(row: DataFrame, weights: dict[str | None, float] | None, total: int | None) -> DataFrame:
+    """(s, epochs, left, k, d, r) of each source that gets a part of the budget: how often it is taken whole, the tokens that are left, and the place
+    (k, d, r) from which on its rows do not fit there (null: all do). row: (s, t, k, d, r), in the shared folder.
     """
-    row = docs.select(
-        F.col("source").alias("s"),
-        n_tokens(F.col("text")).alias("t"),
-        (-F.log(uniform(seed)) / quality_weight(F.col("text"))).alias("k"),
-        F.col("doc_id").alias("d"),
-        F.xxhash64("doc_id", "text").alias("r"),
-    )
-    row = cut(row)
-    held = {r["s"]: (r["n"], r["t"]) for r in row.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t")).collect()}
+    spark = row.sparkSession
+    held = row.groupBy("s").agg(F.sum("t").alias("tokens"), F.count(F.lit(1)).alias("rows"), F.min("k").alias("low"), F.max("k").alias("high"))
     if weights is None:
-        weights = {s: float(t) ** TEMPERATURE for s, (_, t) in held.items()}
-    if any(w < 0 for w in weights.values()):
-        raise ValueError("weights must not be negative")
-    share = sum(weights.values()) or 1.0
-    total = sum(t for _, t in held.values()) if total is None else total
-    plan = []
-    for s, (n, t) in held.items():
-        budget = int(total * weights.get(s, 0.0) / share)
-        epochs = budget // t if t else 0
-        plan.append((s, int(epochs), int(budget - epochs * t), max(1, n // RANGE_ROWS)))
-    spark = docs.sparkSession
-    table = spark.createDataFrame(plan, f"{_P}s {docs.schema['source'].dataType.simpleString()}, {_P}epochs bigint, {_P}left bigint, {_P}ranges bigint")
-    # one row a source; sources are a small, closed set, and Spark decides by its size how the table is joined
-    ranged = row.join(table, F.col("s").eqNullSafe(F.col(f"{_P}s"))).withColumn("g", F.least(F.floor((1 - F.exp(-F.col("k"))) * F.col(f"{_P}ranges")), F.col(f"{_P}ranges") - 1)).where("t > 0")
-    sums = ranged.groupBy(F.col("s").alias("s2"), F.col("g").alias("g2"), F.col(f"{_P}left").alias("left")).agg(F.sum("t").alias("t2"))
-    before = F.sum("t2").over(Window.partitionBy("s2").orderBy("g2")) - F.col("t2")
-    ends = sums.withColumn("before", before).where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("t2") > F.col("left"))).select("s2", "g2", "left", "before")
-    last = ranged.join(ends, F.col("s").eqNullSafe(F.col("s2")) & (F.col("g") == F.col("g2")))
-    fits = F.col("before") + F.sum("t").over(Window.partitionBy("s", "g").orderBy(F.col("k"), F.col("d").asc_nulls_first(), F.col("r"))) <= F.col("left")
-    stop = last.withColumn("fits", fits).where("not fits").groupBy("s").agg(F.min(F.struct("k", F.coalesce(F.col("d"), F.lit(-(1 << 62))).alias("d"), "r")).alias("stop"))
-    stops = {x["s"]: tuple(x["stop"]) for x in stop.collect()}
-    cuts = [(s, e, left, *stops.get(s, (None, None, None))) for s, e, left, _ in plan]
-    limits = spark.createDataFrame(cuts, f"{_P}s {docs.schema['source'].dataType.simpleString()}, {_P}epochs bigint, {_P}left bigint, {_P}k double, {_P}d bigint, {_P}r bigint")
-    joined = docs.join(F.broadcast(limits) if len(cuts) <= 10_000 else limits, docs["source"].eqNullSafe(limits[f"{_P}s"]))
-    key = -F.log(uniform(seed)) / quality_weight(F.col("text"))
-    place = F.struct(key.alias("k"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))).cast("bigint").alias("d"), F.xxhash64("doc_id", "text").alias("r"))
-    stop_at = F.struct(F.col(f"{_P}k").alias("k"), F.col(f"{_P}d").alias("d"), F.col(f"{_P}r").alias("r"))
-    partly = (n_tokens(F.col("text")) > 0) & (F.col(f"{_P}left") > 0) & (F.col(f"{_P}k").isNull() | (place < stop_at))
-    times = F.col(f"{_P}epochs") + F.when(partly, 1).otherwise(0)
-    taken = joined.withColumn(f"{_P}times", times.cast("int")).where(f"{_P}times > 0")
-    return taken.select(*(docs[f"`{c}`"] for c in docs.columns), F.explode(F.sequence(F.lit(0), F.col(f"{_P}times") - 1)).alias(f"{_P}epoch"))
-
-
-def report(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, source, epoch, n_tokens) of each row of the mixture."""
-    return mix(docs, **how).select("doc_id", "source", F.col(f"{_P}epoch").cast("bigint").alias("epoch"), n_tokens(F.col("text")).alias("n_tokens"))
-
-
-def sample(docs: DataFrame, **how) -> DataFrame:
-    """The rows of the mixture with the columns of docs."""
-    return mix(docs, **how).drop(f"{_P}epoch")
+        held = held.withColumn("w", F.pow(F.col("tokens").cast("double"), F.lit(TEMPERATURE)))
+    else:
+        if any(w < 0 for w in weights.values()):
+            raise ValueError("weights must not be negative")
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], f"name {row.schema['s'].dataType.simpleString()}, w double")
+        held = held.join(given, F.col("s").eqNullSafe(F.col("name")), "left").drop("name").fillna(0.0, ["w"])
+    held = cut(held)
+    tokens, share = held.agg(F.sum("tokens"), F.sum("w")).first()
+    if weights is not None:
+        share = sum(weights.values())
+    total = (tokens or 0) if total is None else total
+    budget = F.floor(F.lit(float(total)) * F.col("w") / F.lit(float(share or 1.0)))
+    epochs = F.when(F.col("tokens") > 0, F.floor(budget / F.col("tokens"))).otherwise(0).cast("bigint")
+    plan = cut(held.select("s", epochs.alias("epochs"), (budget - epochs * F.col("tokens")).cast("bigint").alias("left"), "rows", "low", "high"))
+    # the range of keys in which a budget ends: halved by CELLS until it holds no more than RANGE_ROWS rows, or one key
+    open_ = plan.where("left > 0").select("s", "left", F.lit(0).cast("bigint").alias("before"), "low", "high", "rows")
+    while open_.where((F.col("rows") > RANGE_ROWS) & (F.col("low") < F.col("high"))).limit(1).count():
+        cell = F.least(F.floor((F.col("k") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * CELLS), F.lit(CELLS - 1))
+        inside = row.join(open_.withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2")) & F.col("k").between(F.col("low"), F.col("high")))
+        sums = inside.groupBy("s", "left", "before", F.coalesce(cell, F.lit(0)).alias("cell")).agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("rows"), F.min("k").alias("low"), F.max("k").alias("high"))
+        upto = F.col("before") + F.sum("t").over(Window.partitionBy("s").orderBy("cell"))  # CELLS rows a source at most
+        last = sums.withColumn("upto", upto).where("upto > left").groupBy("s").agg(F.min(F.struct("cell", "left", (F.col("upto") - F.col("t")).alias("before"), "low", "high", "rows")).alias("x"))
+        open_ = cut(last.select("s", "x.left", "x.before", "x.low", "x.high", "x.rows"))
+    inside = row.join(open_.withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2")) & F.col("k").between(F.col("low"), F.col("high")))
+    equal = inside.groupBy("s", "left", "before", "k", "d", "r").agg(F.sum("t").alias("t"))
+    upto = F.col("before") + F.sum("t").over(Window.partitionBy("s").orderBy("k", F.col("d").asc_nulls_first(), "r"))
+    stop = equal.withColumn("upto", upto).where("upto > left").groupBy("s").agg(F.min(F.struct("k", "d", "r")).alias("stop"))
+    return cut(plan.join(stop.withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2")), "left").where("epochs > 0 or left > 0").select("s", "epochs", "left", "stop"))
+
+
+def _taken(keyed: DataFrame, limits: DataFrame) -> DataFrame:
+    """keyed with an epoch, once for each time that a row is taken."""
+    joined = keyed.join(limits.withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2")))
+    partly = (F.col("t") > 0) & (F.col("left") > 0) & (F.col("stop").isNull() | (F.struct("k", "d", "r") < F.col("stop")))
+    times = joined.withColumn("times", (F.col("epochs") + F.when(partly, 1).otherwise(0)).cast("int")).where("times > 0")
+    return times.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+
+
+def _keyed(docs: DataFrame, seed: int, quality: Column | None) -> list[Column]:
+    text, d = F.col("text").cast("string"), F.col("doc_id").cast("bigint")
+    weight = quality_weight(text) if quality is None else quality.cast("double")
+    return [F.col("source").alias("s"), n_tokens(text).alias("t"), (-F.log(uniform(seed)) / weight).alias("k"), d.alias("d"), _row_key(d, text).alias("r")]
+
+
+def report(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = SEED, quality: Column | None = None) -> DataFrame:
+    """(doc_id, source, epoch, n_tokens) of each row of the mixture.
+
+    weights: target share by source; by default tempered by TEMPERATURE. total: tokens of the mixture; by
+    default those of docs. quality: each row's weight, positive; by default quality_weight. The text is read once.
+    """
+    row = cut(docs.select(*_keyed(docs, seed, quality)))
+    limits = _limits(row.where("t > 0"), weights, total)
+    return _taken(row, limits).select(F.col("d").alias("doc_id"), F.col("s").alias("source"), F.col("epoch").cast("bigint").alias("epoch"), F.col("t").alias("n_tokens"))
+
+
+def sample(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = SEED, quality: Column | None = None) -> DataFrame:
+    """The rows of the mixture with the columns of docs. The text is read twice: for the keys, and to be taken."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    limits = _limits(cut(docs.select(*_keyed(docs, seed, quality)).where("t > 0")), weights, total)
+    return _taken(docs.select(*_keyed(docs, seed, quality), whole), limits).select("whole.*")
 
 
 SQL = f"""
