@@ -4,7 +4,7 @@ Vectors are dealt to shards by hash, about SHARD_ROWS to one; each shard's graph
 a (nodes, M) table of neighbours, -1 where there is none. Equal vectors of a shard are one node. Nodes are inserted in
 batches that grow with the graph; a batch is linked to the graph before it and within itself, and links are pruned by the
 heuristic that keeps a neighbour only if it is nearer to the node than to a neighbour already kept. A search goes down the layers
-greedily and runs a beam of EF on the lowest, for many queries in step. Every row is a query in every shard; the
+greedily and runs a beam of EF on the lowest, for many queries in step. Every query is put to every shard, in blocks; the
 shards' results are merged to the K nearest by cosine similarity.
 
 Defined cases: null, empty, zero or non-finite vectors, and those whose length differs from the most common, are
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeflow.llm.common import cut
@@ -26,8 +26,10 @@ K = 10
 M = 16
 EF = 96
 BUILD_EF = 64
-SHARD_ROWS = 16_384
-BLOCK_ROWS = 4_096
+SHARD_ROWS = 8_192
+#: Queries to a block, and blocks that are searched for by one task, in one shard.
+BLOCK_ROWS = 512
+BLOCKS = 64
 #: Similarities that are equal when rounded, as they are shown, differ by less.
 TIE = 1e-5
 
@@ -209,11 +211,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-_GRAPH = "shard int, dim int, vectors binary, ids binary, edges binary, original binary, shapes array<int>, layers binary"
+_GRAPH = "shard int, dim int, vectors binary, ids binary, names binary, nulls binary, edges binary, original binary, shapes array<int>, layers binary"
 
 
 def _build(table: pa.Table) -> pa.Table:
-    """One row: a shard's distinct vectors, the row keys that share each, by vec_id (null last), and its graph."""
+    """One row: a shard's distinct vectors, the rows that share each, by vec_id (null last), and its graph."""
     by = np.argsort(table["row"].to_numpy(), kind="stable")
     v = _matrix(table["v"].combine_chunks())[by]
     key = table["row"].to_numpy()[by]
@@ -224,14 +226,14 @@ def _build(table: pa.Table) -> pa.Table:
     edges = np.searchsorted(inverse[order], np.arange(len(distinct) + 1))
     g = Graph(distinct)
     row = {
-        "shard": table["shard"][0].as_py(), "dim": distinct.shape[1], "vectors": g.vectors.tobytes(), "ids": key[order].tobytes(), "edges": edges.astype(np.int64).tobytes(),
+        "shard": table["shard"][0].as_py(), "dim": distinct.shape[1], "vectors": g.vectors.tobytes(), "ids": key[order].tobytes(), "names": name[order].tobytes(), "nulls": null[order].tobytes(), "edges": edges.astype(np.int64).tobytes(),
         "original": g.original.astype(np.int32).tobytes(), "shapes": [x for layer in g.layers for x in layer.shape], "layers": b"".join(layer.tobytes() for layer in g.layers),
     }
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.binary())
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int32()), pa.binary())
     return pa.table({k: pa.array([x], t) for (k, x), t in zip(row.items(), kinds, strict=True)})
 
 
-def _load(row: dict) -> tuple[Graph, np.ndarray, np.ndarray]:
+def _load(row: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     g = Graph.__new__(Graph)
     g.vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, row["dim"])
     g.original = np.frombuffer(row["original"], np.int32)
@@ -239,70 +241,79 @@ def _load(row: dict) -> tuple[Graph, np.ndarray, np.ndarray]:
     for a, b in zip(shapes[::2], shapes[1::2], strict=True):
         g.layers.append(np.frombuffer(row["layers"], np.int32, a * b, at).reshape(a, b))
         at += 4 * a * b
-    return g, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["edges"], np.int64)
+    return g, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["names"], np.int64), np.frombuffer(row["nulls"], bool), np.frombuffer(row["edges"], np.int64)
+
+
+_MET = "row bigint, other bigint, vec_id bigint, sim double"
 
 
 def _search(k: int, ef: int):
-    """For each (block of queries, shard): each query's best k + 1 rows of the shard, by row key, and all that tie with the last:
+    """Blocks of queries against one shard: each query's best k + 1 rows of the shard and all that tie with the last:
     of rows with one vector the first k + 1 by vec_id, of vectors those among the ef that the search holds.
     """
 
-    def of(batches):
-        held, graph = None, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held != row["shard"]:
-                    held, graph = row["shard"], _load(row)
-                g, ids, edges = graph
-                q = np.frombuffer(row["queries"], np.float32).reshape(-1, row["dim"])
-                rows = np.frombuffer(row["query_ids"], np.int64)
-                nodes, sims = g.search(q, max(k + 1, ef), ef)
-                use = nodes >= 0
-                who, node, sim = np.nonzero(use)[0], nodes[use], sims[use]
-                # a node stands for all rows with its vector; once k + 1 rows are reached, later nodes add none, but those that tie
-                size = np.diff(edges)[node]
-                total = np.cumsum(size)
-                start = np.concatenate([[0], total])[np.searchsorted(who, np.arange(len(rows)))]
-                need = total - size - start[who] < k + 1
-                least = np.full(len(rows), np.inf)
-                np.minimum.at(least, who[need], sim[need])
-                keep = sim >= least[who] - TIE
-                who, node, sim, size = who[keep], node[keep], sim[keep], np.minimum(size[keep], k + 1)
-                a = np.repeat(np.arange(len(node)), size)
-                inside = np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[who[a]]), pa.array(ids[edges[node[a]] + inside]), pa.array(sim[a].astype(np.float64))], names=["row", "other", "sim"])
+    def block(graph, queries: bytes, query_ids: bytes) -> pa.Table:
+        g, ids, names, nulls, edges = graph
+        rows = np.frombuffer(query_ids, np.int64)
+        nodes, sims = g.search(np.frombuffer(queries, np.float32).reshape(len(rows), -1), max(k + 1, ef), ef)
+        use = nodes >= 0
+        who, node, sim = np.nonzero(use)[0], nodes[use], sims[use]
+        # a node stands for all rows with its vector; once k + 1 rows are reached, later nodes add none, but those that tie
+        size = np.diff(edges)[node]
+        total = np.cumsum(size)
+        start = np.concatenate([[0], total])[np.searchsorted(who, np.arange(len(rows)))]
+        need = total - size - start[who] < k + 1
+        least = np.full(len(rows), np.inf)
+        np.minimum.at(least, who[need], sim[need])
+        keep = sim >= least[who] - TIE
+        who, node, sim, size = who[keep], node[keep], sim[keep], np.minimum(size[keep], k + 1)
+        a = np.repeat(np.arange(len(node)), size)
+        at = edges[node[a]] + np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)
+        other = ids[at] != rows[who[a]]
+        a, at = a[other], at[other]
+        return pa.table({"row": pa.array(rows[who[a]]), "other": pa.array(ids[at]), "vec_id": pa.array(names[at], pa.int64(), mask=nulls[at]), "sim": pa.array(sim[a].astype(np.float64))})
+
+    def of(asked: pa.Table, graphs: pa.Table) -> pa.Table:
+        none = pa.table({"row": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        if not graphs.num_rows:
+            return none
+        graph = _load(graphs.slice(0, 1).to_pylist()[0])
+        return pa.concat_tables([none, *(block(graph, q.as_py(), i.as_py()) for q, i in zip(asked["queries"], asked["query_ids"], strict=True))])
 
     return of
 
 
-def knn(vectors: DataFrame, k: int = K, ef: int = EF, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(vec_id, neighbours, similarities): for each row, the vec_ids of its k nearest other rows, nearest first."""
-    spark = vectors.sparkSession
+def knn(vectors: DataFrame, k: int = K, ef: int = EF, shard_rows: int = SHARD_ROWS, asked: Column | None = None) -> DataFrame:
+    """(vec_id, neighbours, similarities): for each row for which asked is true (by default all), the vec_ids of its k nearest other
+    rows of all, nearest first.
+    """
     emb = F.col("embedding")
+    told = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
     keyed = cut(
-        vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), emb.cast("array<float>").alias("embedding")).withColumn("row", F.monotonically_increasing_id())
+        vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), emb.cast("array<float>").alias("embedding"), told.alias("told")).withColumn("row", F.monotonically_increasing_id())
     )
     ok = (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 1e30)) & F.exists("embedding", lambda x: x != 0)
     good = keyed.where(F.coalesce(ok, F.lit(False)))
-    common = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    n, dim = (common["count"], common["n"]) if common else (0, 0)
+    common = good.groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("count"), F.sum(F.col("told").cast("bigint")).alias("told")).orderBy(F.desc("count"), "n").first()
+    n, dim, queries = (common["count"], common["n"], common["told"]) if common else (0, 0, 0)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    unit = good.where(F.size("embedding") == dim).withColumn("norm", norm).where("norm > 0").select("row", "vec_id", F.transform("embedding", lambda x: (x / F.col("norm")).cast("float")).alias("v"))
-    shards = max(1, -(-n // shard_rows))
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    dealt = unit.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    graphs = cut(dealt.groupBy("shard").applyInArrow(_build, _GRAPH))
+    unit = good.where(F.size("embedding") == dim).withColumn("norm", norm).where("norm > 0").select("row", "vec_id", "told", F.transform("embedding", lambda x: (x / F.col("norm")).cast("float")).alias("v"))
+    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-queries // BLOCK_ROWS))
+    parts = -(-blocks // BLOCKS)
+    graphs = cut(unit.select("row", "vec_id", "v", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInArrow(_build, _GRAPH))
 
     def block(table: pa.Table) -> pa.Table:
         v = _matrix(table["v"].combine_chunks())
-        return pa.table({"queries": pa.array([v.tobytes()], pa.binary()), "query_ids": pa.array([table["row"].to_numpy().tobytes()], pa.binary())})
-
-    asked = cut(unit.withColumn("b", F.pmod(F.xxhash64("row"), F.lit(blocks))).groupBy("b").applyInArrow(block, "queries binary, query_ids binary"))
-    pairs = asked.crossJoin(graphs).repartition(max(shards * blocks, 1), F.rand(7)) if shards * blocks > 1 else asked.crossJoin(graphs)
-    met = pairs.mapInArrow(_search(k, ef), "row bigint, other bigint, sim double").where("row <> other")
-    named = met.join(keyed.select(F.col("row").alias("other"), F.col("vec_id").alias("v")), "other")
-    best = named.groupBy("row").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.round("sim", 5)).alias("s"), F.col("v").isNull().alias("z"), "v", "other"))), 1, k).alias("x"))
-    out = keyed.select("row", "vec_id").join(best, "row", "left")
+        return pa.table({"b": table["b"][:1], "queries": pa.array([v.tobytes()], pa.binary()), "query_ids": pa.array([table["row"].to_numpy().tobytes()], pa.binary())})
+
+    rows = unit.where("told").select("row", "v", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("b"))
+    packed = cut(rows.groupBy("b").applyInArrow(block, "b int, queries binary, query_ids binary"))
+    # a task holds one graph and BLOCKS blocks of queries
+    sent = packed.select("queries", "query_ids", F.pmod("b", F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    held = graphs.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    met = sent.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInArrow(_search(k, ef), _MET)
+    best = met.groupBy("row").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.round("sim", 5)).alias("s"), F.col("vec_id").isNull().alias("z"), F.col("vec_id").alias("v"), "other"))), 1, k).alias("x"))
+    out = keyed.where("told").select("row", "vec_id").join(best, "row", "left")
     none = F.array()
     return out.select(
         "vec_id", F.coalesce(F.transform("x", lambda y: y["v"]), none.cast("array<bigint>")).alias("neighbours"), F.coalesce(F.transform("x", lambda y: -y["s"]), none.cast("array<double>")).alias("similarities")
