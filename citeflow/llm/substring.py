@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeflow.llm.common import NOT_SPACE, chunks, cut, mix, row_key, shared_dir, word_hashes, words
+from citeflow.llm.common import NOT_SPACE, chunks, cut, fresh, mix, row_key, shared_dir, word_hashes, words
 
 WINDOW = 50
 GRAM = 25
@@ -52,6 +52,9 @@ def windows(data: np.ndarray, at: np.ndarray):
     start, end, first = words(data, at, NOT_SPACE)
     h = word_hashes(data, start, end)
     count = np.diff(first)
+    if len(h) < WINDOW:
+        none = np.zeros(0, np.int64)
+        return none, none, none.view(np.uint64), none.view(np.uint64), start, first
     row = np.repeat(np.arange(len(count)), count)
     whole = _rolling(h, WINDOW, 21)
     gram = _rolling(h, GRAM, 31)
@@ -60,10 +63,10 @@ def windows(data: np.ndarray, at: np.ndarray):
     while span * 2 <= width:
         least = np.minimum(least[: len(least) - span], least[span:])
         span *= 2
-    if width > span and len(least):
+    if width > span:
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
     n = len(whole)
-    ok = np.flatnonzero(row[:n] == row[WINDOW - 1 : WINDOW - 1 + n]) if n else np.zeros(0, np.int64)
+    ok = np.flatnonzero(row[:n] == row[WINDOW - 1 : WINDOW - 1 + n])
     r = row[ok]
     return r, ok - first[r], least[ok], whole[ok], start, first
 
@@ -332,11 +335,12 @@ def _cut_text(text: pa.Array, marks: pa.Array) -> pa.Array:
 
 def deduplicate(docs: DataFrame, batches: int = 3) -> DataFrame:
     """docs with repeated stretches cut from text, and n_chars, where there is one, counted anew; rows of which nothing is left go."""
-    marks = repeated_windows(docs, batches).select(F.col("row").alias("_citeflow_row"), F.col("marks").alias("_citeflow_marks"))
-    joined = docs.withColumn("_citeflow_row", row_key("doc_id", "text")).join(marks, "_citeflow_row", "left")
-    has = F.col("_citeflow_marks").isNotNull()
+    row, marked = fresh(docs, "row"), fresh(docs, "marks")
+    marks = repeated_windows(docs, batches).select(F.col("row").alias(row), F.col("marks").alias(marked))
+    joined = docs.withColumn(row, row_key("doc_id", "text")).join(marks, row, "left")
+    has = F.col(marked).isNotNull()
     cutting = F.arrow_udf(_cut_text, "string")
-    done = joined.withColumn("text", F.when(has, cutting(F.col("text"), F.col("_citeflow_marks"))).otherwise(F.col("text"))).where(~has | (F.col("text") != ""))
+    done = joined.withColumn("text", F.when(has, cutting(F.col("text"), F.col(marked))).otherwise(F.col("text"))).where(~has | (F.col("text") != ""))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(has, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return done.select(*(F.col(f"`{c}`") for c in docs.columns))
