@@ -6,42 +6,15 @@ the verdict); customer, orders and lineitem are sites, URLs and links; documents
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citeflow import policy
 from citeflow.functions import pages, urls
 from citeflow.operators import classify, graph, state
+from citeflow.plans.registry import oracle_sql, queries, register as _query, table as _t, values as _values
 from citeflow.sources import dumps, wikitext
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def keep(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 _HOST = r"lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))"
 _NORM = r"""regexp_extract(url, '^([a-z]+)://', 1) || '://' || lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) ||
   CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END ||
@@ -51,8 +24,8 @@ _NORM = r"""regexp_extract(url, '^([a-z]+)://', 1) || '://' || lower(regexp_extr
 
 @_query(f"SELECT page_id, {_NORM} AS url_normalized, sha256({_NORM}) AS url_hash FROM pages")
 def url_normalize(spark, d):
-    u = urls.normalize(F.col("url"))
-    return _t(spark, d, "pages").select("page_id", u.alias("url_normalized"), urls.url_hash(u).alias("url_hash"))
+    u = urls.canonical(_t(spark, d, "pages").select("page_id", "url"), "url", "url_normalized")
+    return u.select("page_id", "url_normalized", urls.url_hash(F.col("url_normalized")).alias("url_hash"))
 
 
 @_query(f"SELECT {_HOST} AS host, count(*)::BIGINT AS cites, count(DISTINCT {_NORM})::BIGINT AS urls FROM pages GROUP BY 1 ORDER BY cites DESC, urls DESC, host")
@@ -73,21 +46,16 @@ def url_dedup_counts(spark, d):
     return u.groupBy("url_normalized").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("cite_count"))
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    q = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(q, r)) + ')' for r in rows)}) AS t({names})"
-
-
 NORMALIZED = [
     ("HTTP://Example.COM/Path", "http://example.com/Path"), ("http://a.com:80/x", "http://a.com/x"), ("https://a.com:443/x#f", "https://a.com/x"), ("https://a.com:8443", "https://a.com:8443/"), ("http://a.com/a/./b/../c", "http://a.com/a/c"),
     ("http://a.com/../a//b", "http://a.com/a//b"), ("http://a.com/%7Euser%2fx%41", "http://a.com/~user%2FxA"), ("http://a.com/?b=1&utm_source=x&a=2", "http://a.com/?b=1&a=2"), ("http://a.com/?q=a%20b", "http://a.com/?q=a%20b"), ("http://a.com/?q=a%20b~&fbclid=1", "http://a.com/?q=a+b~"),
-    ("http://u:p@a.com/", "http://a.com/"), ("https://web.archive.org/web/20200101000000id_/https:/x.org/y", "https://x.org/y"), ("https://archive.ph/newest/http://x.org/z", "http://x.org/z"), ("https://ghostarchive.org/archive/1", "https://ghostarchive.org/archive/1"), ("http://A.com./x", "http://a.com/x"),
+    ("http://u:p@a.com/", "http://a.com/"), ("https://web.archive.org/web/20200101000000id_/https:/x.org/y", "https://x.org/y"), ("https://archive.ph/newest/http://x.org/z", "http://x.org/z"), ("https://ghostarchive.org/archive/1", "https://ghostarchive.org/archive/1"), ("http://A.com./x", "http://a.com/x"), ("http://BÜCHER.de:8080/ü?x=1", "http://xn--bcher-kva.de:8080/ü?x=1"), ("https://straße.de", "https://xn--strae-oqa.de/"), ("http://www.例え.jp/a", "http://www.xn--r8jz45g.jp/a"),
 ]
 
 
 @_query(_values(NORMALIZED, "raw, url"))
 def url_normalize_cases(spark, d):
-    return spark.createDataFrame([(r,) for r, _ in NORMALIZED], "raw string").select("raw", urls.normalize(F.col("raw")).alias("url"))
+    return spark.createDataFrame([(r,) for r, _ in NORMALIZED], "raw string").transform(urls.canonical, "raw", "url")
 
 
 RECONSTRUCTED = [
@@ -142,11 +110,9 @@ _TITLE = r"lower(coalesce(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>',
   (CASE WHEN {_any(_TITLE, policy.SOFT_TITLES)} THEN 2 ELSE 0 END + CASE WHEN {_any('lower(html)', policy.SOFT_PHRASES)} THEN 2 ELSE 0 END + CASE WHEN length(html) < 512 THEN 1 ELSE 0 END) AS soft FROM pages)
 SELECT page_id, CASE WHEN sale AND park THEN 'for_sale' WHEN park THEN 'parked' WHEN sale THEN 'for_sale' WHEN soft >= 2 THEN 'soft_404' ELSE 'live' END AS classification, soft::BIGINT AS soft_score FROM s""")
 def classify_content(spark, d):
-    p = _t(spark, d, "pages").withColumn("title", pages.title(F.col("html")))
-    n = F.length("html")
-    v = classify.classify_content(F.col("title"), F.col("html"), F.col("url"), F.col("url"), F.lit(0), n)
-    soft = classify.soft_404_score(classify.signals(F.col("title"), F.col("html")), F.col("url"), F.col("url"), n)
-    return p.select("page_id", v["classification"].alias("classification"), soft.cast("bigint").alias("soft_score"))
+    p = _t(spark, d, "pages").select("page_id", "url", "html", pages.title(F.col("html")).alias("title"))
+    v = p.select("page_id", classify.classify_content(F.col("title"), F.col("html"), F.col("url"), F.col("url"), F.lit(0), F.length("html")).alias("v"))
+    return v.select("page_id", "v.classification", F.col("v.soft_score").cast("bigint").alias("soft_score"))
 
 
 _STATUS = "CASE event_type WHEN 'error' THEN 404 WHEN 'view' THEN 200 WHEN 'click' THEN 301 WHEN 'purchase' THEN 503 ELSE 403 END"
@@ -155,7 +121,7 @@ _STATUS = "CASE event_type WHEN 'error' THEN 404 WHEN 'view' THEN 200 WHEN 'clic
 @_query(f"SELECT event_id, CASE s WHEN 404 THEN 'hard_404' WHEN 503 THEN 'temporarily_unavailable' WHEN 200 THEN 'live' WHEN 403 THEN 'live' ELSE 'unclassified' END AS classification, CASE s WHEN 404 THEN 1.0 WHEN 503 THEN 1.0 WHEN 200 THEN 0.9 WHEN 403 THEN 0.8 ELSE 0.2 END::DOUBLE AS confidence FROM (SELECT event_id, {_STATUS} AS s FROM events)")
 def classify_status(spark, d):
     e = _t(spark, d, "events").withColumn("s", F.expr(_STATUS))
-    v = classify.classify_url(F.lit("allowed"), F.lit(True), F.lit(None).cast("string"), F.col("s"), classify.verdict("live", 0.9, "answered"))
+    v = classify.classify_url(F.lit("allowed"), F.lit(True), F.lit(None).cast("string"), F.col("s"), classify.verdict("live", 0.9, "HTTP 200"))
     return e.select("event_id", v.alias("v")).select("event_id", "v.classification", "v.confidence")
 
 
@@ -241,22 +207,22 @@ def state_tally(spark, d):
     return o.withColumn("lifted", classify.lifted_state(F.col("filled"), F.col("open"), F.col("total")))
 
 
-_SCORE = """WITH k AS (SELECT o_custkey AS c, count(DISTINCT l_partkey) AS p, bool_or(l_returnflag = 'A') AS a, bool_or(l_returnflag = 'R') AS r, count(*) FILTER (l_linestatus = 'F') AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
+_SCORE = """WITH k AS (SELECT o_custkey AS c, count(DISTINCT l_partkey) AS p, bool_or(l_returnflag = 'A') AS a, bool_or(l_returnflag = 'R') AS r, count(*) FILTER (l_linestatus = 'F') AS f, count(*) FILTER (l_discount > 0.09 AND l_tax < 0.01) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
 u AS (SELECT o_custkey AS c, bool_or(o_orderstatus = 'F') AS dead, bool_or(o_orderstatus = 'P') AS soft FROM orders GROUP BY 1)
-SELECT c_custkey AS custkey, (CASE c_mktsegment WHEN 'BUILDING' THEN 50 WHEN 'MACHINERY' THEN 20 ELSE 0 END + least(3 * coalesce(p, 0), 30) + CASE WHEN dead THEN 6 WHEN soft THEN 2 ELSE 0 END + CASE WHEN a THEN 8 WHEN r THEN 4 ELSE 0 END + CASE WHEN f > 0 THEN 5 ELSE 0 END - CASE WHEN c_nationkey = 0 THEN 15 ELSE 0 END)::BIGINT AS candidate_score
+SELECT c_custkey AS custkey, (CASE c_mktsegment WHEN 'BUILDING' THEN 50 WHEN 'MACHINERY' THEN 20 ELSE 0 END + least(3 * coalesce(p, 0), 30) + CASE WHEN dead THEN 6 WHEN soft THEN 2 ELSE 0 END + CASE WHEN a THEN 8 WHEN r THEN 4 ELSE 0 END + CASE WHEN f > 0 THEN 5 ELSE 0 END + CASE WHEN x > 0 THEN 7 ELSE 0 END - CASE WHEN c_nationkey = 0 THEN 15 ELSE 0 END)::BIGINT AS candidate_score
 FROM customer LEFT JOIN k ON k.c = c_custkey LEFT JOIN u ON u.c = c_custkey"""
 
 
 def _scored(spark, d):
     o = _t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
-    li = _t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus")
-    k = li.join(o, li.l_orderkey == o.o_orderkey).groupBy("o_custkey").agg(F.count_distinct("l_partkey").alias("p"), F.collect_set(F.expr("CASE l_returnflag WHEN 'A' THEN 'citation' WHEN 'R' THEN 'further_reading' END")).alias("kinds"), F.count_if(F.col("l_linestatus") == "F").alias("f"))
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus", "l_discount", "l_tax")
+    k = li.join(o, li.l_orderkey == o.o_orderkey).groupBy("o_custkey").agg(F.count_distinct("l_partkey").alias("p"), F.collect_set(F.expr("CASE l_returnflag WHEN 'A' THEN 'citation' WHEN 'R' THEN 'further_reading' END")).alias("kinds"), F.count_if(F.col("l_linestatus") == "F").alias("f"), F.count_if((F.col("l_discount") > 0.09) & (F.col("l_tax") < 0.01)).alias("x"))
     u = o.groupBy("o_custkey").agg(F.collect_set(F.expr("CASE o_orderstatus WHEN 'F' THEN 'dns_failure' WHEN 'P' THEN 'soft_404' END")).alias("url_states"))
     c = _t(spark, d, "customer").join(k.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left").join(u.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left")
     none = F.array().cast("array<string>")
     sites = c.select(
         F.col("c_custkey").alias("custkey"), F.expr("CASE c_mktsegment WHEN 'BUILDING' THEN 'unregistered' WHEN 'MACHINERY' THEN 'parked' ELSE 'active' END").alias("state"), F.coalesce("p", F.lit(0)).alias("wiki_page_count"),
-        F.coalesce("url_states", none).alias("url_states"), F.coalesce("kinds", none).alias("kinds"), F.coalesce("f", F.lit(0)).alias("dead_tags"), F.lit(0).alias("removed"), (F.col("c_nationkey") == 0).alias("is_private"),
+        F.coalesce("url_states", none).alias("url_states"), F.coalesce("kinds", none).alias("kinds"), F.coalesce("f", F.lit(0)).alias("dead_tags"), graph.removed_links(F.col("x"), F.lit(0)).alias("removed"), (F.col("c_nationkey") == 0).alias("is_private"),
     )
     return graph.score(sites)
 
@@ -271,7 +237,16 @@ def export_ranked(spark, d):
     return _scored(spark, d).select("custkey", "candidate_score").orderBy(F.desc("candidate_score"), "custkey").limit(100)
 
 
-@_query()
+_PART = "CASE WHEN {1} <> 0 THEN '{{\"name\":\"' || {0} || '\",\"points\":' || ({1}) || '}}' END"
+_PARTS = [
+    ("'state:' || CASE c_mktsegment WHEN 'BUILDING' THEN 'unregistered' WHEN 'MACHINERY' THEN 'parked' ELSE 'active' END", "CASE c_mktsegment WHEN 'BUILDING' THEN 50 WHEN 'MACHINERY' THEN 20 ELSE 0 END"), ("'pages'", "least(3 * coalesce(p, 0), 30)"),
+    ("CASE WHEN dead THEN 'url:dns_failure' ELSE 'url:soft_404' END", "CASE WHEN dead THEN 6 WHEN soft THEN 2 ELSE 0 END"), ("CASE WHEN a THEN 'kind:citation' ELSE 'kind:further_reading' END", "CASE WHEN a THEN 8 WHEN r THEN 4 ELSE 0 END"),
+    ("'dead_tag'", "CASE WHEN f > 0 THEN 5 ELSE 0 END"), ("'removed'", "CASE WHEN x > 0 THEN 7 ELSE 0 END"), ("'private_suffix'", "CASE WHEN c_nationkey = 0 THEN -15 ELSE 0 END"),
+]
+_TOLD = "'[' || concat_ws(',', " + ", ".join(_PART.format(n, p) for n, p in _PARTS) + ") || ']'"
+
+
+@_query(_SCORE.replace(" AS candidate_score", f" AS candidate_score, {_TOLD} AS score_explanation"))
 def score_components(spark, d):
     return _scored(spark, d).select("custkey", "candidate_score", "score_explanation")
 
@@ -284,9 +259,8 @@ def representative_link(spark, d):
 
 @_query("SELECT c_custkey AS custkey FROM customer WHERE c_acctbal < 0 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def domains_due_exists_or(spark, d):
-    _t(spark, d, "customer").createOrReplaceTempView("citeflow_sites")
-    _t(spark, d, "orders").createOrReplaceTempView("citeflow_urls")
-    return spark.sql("SELECT c_custkey AS custkey FROM citeflow_sites s WHERE c_acctbal < 0 OR EXISTS (SELECT 1 FROM citeflow_urls u WHERE u.o_custkey = s.c_custkey AND u.o_orderstatus = 'P')")
+    seen = _t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("seen", F.lit(True))
+    return _t(spark, d, "customer").join(seen, "c_custkey", "left").where((F.col("c_acctbal") < 0) | F.col("seen")).select(F.col("c_custkey").alias("custkey"))
 
 
 @_query("SELECT o_orderkey AS orderkey, o_custkey AS custkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' OR c_mktsegment = 'BUILDING'")
@@ -398,14 +372,26 @@ def record_flatten_map(spark, d):
     return pages.flatten_map(m, "m", ["small", "large"]).fillna(0)
 
 
-@_query()
+@_query(_values([("1", "http://edu.berkeley.", "/a'b,(c)"), ("2", "http://com.bbc.", None)], "el_id, domain_index, path"))
 def dump_tuple_scan(spark, d):
     line = "INSERT INTO `externallinks` VALUES (1,10,'http://edu.berkeley.','/a\\'b,(c)'),(2,12,'http://com.bbc.',NULL);"
     return dumps.insert_rows(spark.createDataFrame([(line,)], "value string"), "externallinks").select(F.col("fields")[0].alias("el_id"), F.col("fields")[2].alias("domain_index"), F.col("fields")[3].alias("path"))
 
 
-@_query()
+_TEXT = "Lead.\n== History ==\nX <ref name=\"hist\">{{cite web |url=http://a.com/x |archive-url=http://w/1}}</ref> {{dead link}}\n=== Details ===\n[http://b.com/y Deep Link]"
+_FOUND = [
+    ("http://a.com/x", True, "History", 2, None, "citation", "hist", "cite web", _TEXT, True, "http://w/1", None), ("http://www.b.com/y/", True, "Details", 3, "Deep Link", "inline", None, None, _TEXT[_TEXT.index("[http") - 150 :] if len(_TEXT) > 300 else _TEXT, True, "http://w/1", None),
+    ("http://none", False, None, None, None, None, None, None, None, False, None, None),
+]
+
+
+@_query(_values(_FOUND, "url, found, section, section_level, anchor_text, link_kind, ref_name, template_name, context_excerpt, dead_link_tagged, archive_url, archive_date"))
 def wikitext_extract(spark, d):
     text = "Lead.\n== History ==\nX <ref name=\"hist\">{{cite web |url=http://a.com/x |archive-url=http://w/1}}</ref> {{dead link}}\n=== Details ===\n[http://b.com/y Deep Link]"
     rows = spark.createDataFrame([(text, "http://a.com/x"), (text, "http://www.b.com/y/"), (text, "http://none")], "text string, url string")
     return rows.select("url", wikitext.link_context("text", "url").alias("c")).select("url", "c.*")
+
+
+from citeflow.plans import checks, reports  # noqa: E402, F401  (they register their queries)
+
+__all__ = ["oracle_sql", "queries"]

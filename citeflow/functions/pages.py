@@ -29,6 +29,84 @@ def rating(text: Column) -> Column:
     return F.struct(told(1).alias("rating"), told(2).alias("reviews"))
 
 
+def _text(html: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(html, r"(?s)<[^>]*>", ""), r"\s+", " "))
+
+
+def _blocks(html: Column, tag: str, css: str) -> Column:
+    """What follows the start of each element of a class, up to the next such start."""
+    parts = F.split(html, rf'(?i)<{tag}\b[^>]*class="[^"]*\b{css}\b[^"]*"[^>]*>')
+    return F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
+def _anchors(html: Column, css: str | None = None) -> Column:
+    """array of struct(href, text) of the anchors, of a class if one is given, that have a target."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<a\b[^>]*>.*?)</a>"), F.lit(1))
+    kept = F.filter(tags, lambda t: t.rlike(r'(?is)^<a\b[^>]*\bhref="')) if css is None else F.filter(tags, lambda t: t.rlike(rf'(?is)^<a\b[^>]*class="[^"]*\b{css}\b'))
+    return F.transform(kept, lambda t: F.struct(F.regexp_extract(t, r'(?is)^<a\b[^>]*\bhref="([^"]*)"', 1).alias("href"), _text(t).alias("text")))
+
+
+def part_list(html: Column) -> Column:
+    """array of struct(number, name, url): each block of a parts list that has two links, the second naming the part."""
+    two = lambda b: _anchors(b, "pl-pat-im-link")
+    told = F.transform(_blocks(html, "div", "pl-pat-im-sub"), lambda b: F.struct(F.get(two(b), 0).alias("a"), F.get(two(b), 1).alias("b")))
+    return F.transform(F.filter(told, lambda x: x["b"].isNotNull()), lambda x: F.struct(x["a"]["text"].alias("number"), x["b"]["text"].alias("name"), x["b"]["href"].alias("url")))
+
+
+def category_list(html: Column, base: Column | None = None) -> Column:
+    """array of struct(name, url) of the links of a category's list; base goes before each URL."""
+    whole = F.concat_ws("", _blocks(html, "[a-z]+", "category-part-list"))
+    full = lambda u: u if base is None else F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), F.regexp_replace(u, "^/+", ""))
+    return F.transform(_anchors(whole), lambda a: F.struct(a["text"].alias("name"), full(a["href"]).alias("url")))
+
+
+def deals(html: Column) -> Column:
+    """array of struct(name, url): the first link of each news block."""
+    first = F.transform(_blocks(html, "div", "newstitleblock"), lambda b: F.get(_anchors(b), 0))
+    return F.transform(F.filter(first, lambda a: a.isNotNull()), lambda a: F.struct(a["text"].alias("name"), F.trim(a["href"]).alias("url")))
+
+
+#: The field that a specification's row fills: the first whose word its key holds.
+PART_FIELDS = (("part number", "part_number"), ("dimensions", "dimensions"), ("size", "dimensions"), ("weight", "weight"), ("brand", "brand"), ("manufacturer", "manufacturer"), ("condition", "condition"), ("description", "description"), ("position", "position"), ("other names", "other_names"), ("warranty", "warranty"))
+
+
+def part_details(html: Column) -> Column:
+    """struct of a part's page: name, price, msrp, amount and percent saved, the PART_FIELDS (of rows for one field the last counts; part_number is else what
+    follows the maker's name in the title), and specifications, the map of all rows.
+    """
+    clean = lambda c: F.nullif(F.trim(F.replace(c, F.lit("$"))), F.lit(""))
+    of_class = lambda css: _text(F.regexp_extract(html, rf'(?is)class="[^"]*\b{css}\b[^"]*"[^>]*>(.*?)</(?:span|div|p)>', 1))
+    name = _text(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1))
+    table = F.regexp_extract(html, r'(?is)<table\b[^>]*class="[^"]*\bpn-spec-list\b[^"]*"[^>]*>(.*?)</table>', 1)
+    cells = F.transform(F.regexp_extract_all(table, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)), _text))
+    rows = F.transform(F.filter(cells, lambda c: F.size(c) == 2), lambda c: F.struct(F.lower(c[0]).alias("key"), c[1].alias("value")))
+
+    def routed(key: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for word, field in reversed(PART_FIELDS):
+            out = F.when(key.contains(word), field).otherwise(out)
+        return out
+
+    last = lambda field: F.try_element_at(F.filter(rows, lambda r: routed(r["key"]) == field), F.lit(-1))["value"]
+    titled = F.when(name.contains("Toyota"), F.trim(F.element_at(F.split(name, "Toyota"), -1)))
+    fields = [F.coalesce(last(f), titled if f == "part_number" else F.lit(None).cast("string")).alias(f) for f in dict(map(reversed, PART_FIELDS))]
+    saved = savings(of_class("price-section-save"))
+    specs = F.aggregate(rows, F.create_map().cast("map<string,string>"), lambda m, r: F.map_concat(F.map_filter(m, lambda k, _: k != r["key"]), F.create_map(r["key"], r["value"])))
+    return F.struct(name.alias("name"), clean(of_class("price-section-price")).alias("price"), clean(F.regexp_extract(html, r'(?is)class="[^"]*\bprice-section-retail\b[^"]*"[^>]*>.*?<span\b[^>]*>(.*?)</span>', 1)).alias("msrp"), saved["amount"].alias("saved"), saved["percent"].alias("saved_percent"), *fields, specs.alias("specifications"))
+
+
+def map_card(html: Column) -> Column:
+    """struct(name, rating, reviews, type, address, phone, website, maps_url) of a map's result card; UNKNOWN where absent."""
+    known = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("UNKNOWN"))
+    name = _text(F.regexp_extract(html, r'(?is)<div\b[^>]*class="[^"]*fontHeadlineSmall[^"]*"[^>]*>(.*?)</div>', 1))
+    stars = rating(F.regexp_extract(html, r'(?is)<span\b[^>]*class="[^"]*ZkP5Je[^"]*"[^>]*aria-label="([^"]*)"', 1))
+    spans = F.transform(F.regexp_extract_all(F.concat_ws("", _blocks(html, "div", "W4Efsd")), F.lit(r"(?is)<span\b[^>]*>([^<]*)</span>"), F.lit(1)), lambda s: F.trim(s))
+    kind = F.try_element_at(F.filter(spans, lambda s: s.isin("Bakery", "Coffee shop", "Donuts")), F.lit(-1))
+    street = F.try_element_at(F.filter(spans, lambda s: s.rlike("Rd|St|Ave|Blvd")), F.lit(-1))
+    link = F.when(name != "", F.concat(F.lit("https://www.google.com/maps/search/"), F.replace(name, F.lit(" "), F.lit("+"))))
+    return F.struct(known(name).alias("name"), stars["rating"].alias("rating"), stars["reviews"].alias("reviews"), known(kind).alias("type"), known(street).alias("address"), F.lit("UNKNOWN").alias("phone"), F.lit("UNKNOWN").alias("website"), known(link).alias("maps_url"))
+
+
 _UI = ("call", "directions", "hotels", "load more", "more places", "nearby", "results", "save", "search this area", "see more results", "share", "show more results", "sort by", "sponsored", "vacation rentals are also available", "view all", "website")
 _NOT_NAMES = (r"^\d+\s*(km|kilometers|mi|miles)$", r"^\d+\s*min$", "^[★☆]+$", r"^\$+$", "^open|^closed$", r"^\d+:\d+\s*(am|pm)?$", r"^rating:\s*\d", r"^\(\d+\)$")
 

@@ -1,11 +1,13 @@
 """URL algebra as native column expressions.
 
-Each function takes and returns columns; null in gives null out. Python runs in ascii_hosts alone.
+Each function takes and returns columns; null in gives null out. Python runs in ascii_hosts alone, which canonical() calls for
+the rows that need it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeflow import policy
@@ -37,15 +39,22 @@ def normalize_host(host: Column) -> Column:
 
 
 def ascii_hosts(host: Column) -> Column:
-    """Hosts beyond ASCII in their IDNA form; those that have none are kept. For such rows only: it runs in Python."""
+    """Hosts in their IDNA form by UTS 46, not transitional; those that have none are kept."""
 
-    def one(h):
-        try:
-            return h.encode("idna").decode()
-        except (UnicodeError, AttributeError):
-            return h
+    def of(col: pa.Array) -> pa.Array:
+        import idna
 
-    return F.pandas_udf(lambda s: s.map(one), "string")(host)
+        def one(h):
+            if h is None or h.isascii():
+                return h
+            try:
+                return idna.encode(h, uts46=True, transitional=False).decode("ascii")
+            except idna.IDNAError:
+                return h
+
+        return pa.array([one(h) for h in col.to_pylist()], pa.string())
+
+    return F.arrow_udf(of, "string")(host)
 
 
 def remove_dot_segments(path: Column) -> Column:
@@ -93,8 +102,9 @@ def repair_scheme(url: Column) -> Column:
 
 def _unwrap_once(url: Column) -> Column:
     """struct(url, date) of what a snapshot's URL holds; nulls where it is none."""
-    wayback = r"(?i)^/web/(\d{4,14})(?:[a-z]{2}_)?/(.+)$"
-    today = r"^/(?:(\d{4,14})|newest|oldest|[A-Za-z0-9]{5})/(https?://.+)$"
+    stamp = r"(\d{4,14})"
+    wayback = f"^/[wW][eE][bB]/{stamp}(?:[a-zA-Z]{{2}}_|)/(.+)$"
+    today = f"^/(?:[A-Za-z0-9]{{5}}|oldest|newest|{stamp})/(https?://.+)$"
 
     def of(x: Column) -> Column:
         get = lambda i: F.when(x["host"].isin(policy.WAYBACK), F.regexp_extract(x["rest"], wayback, i)).when(x["host"].isin(policy.ARCHIVE_TODAY), F.regexp_extract(x["rest"], today, i))
@@ -158,6 +168,15 @@ def drop_reason(url: Column) -> Column:
     return let(F.struct(F.lower(part(url, 1)).alias("scheme"), normalize_host(host_of(part(url, 2))).alias("host")), of)
 
 
+def acquireable(host: Column) -> Column:
+    """No address, and no wiki's or resolver's host. A private suffix does not exclude a host."""
+    return ~(is_ip(host) | under(host, policy.WIKI_SITES) | under(host, policy.RESOLVERS))
+
+
+def is_archive_host(host: Column) -> Column:
+    return F.lower(host).isin(policy.WAYBACK + policy.ARCHIVE_TODAY)
+
+
 def normalize(raw: Column) -> Column:
     """The canonical form of a URL: archives unwrapped, host lower, default port, dots, tracking, user and fragment gone."""
 
@@ -174,6 +193,16 @@ def normalize(raw: Column) -> Column:
     return let(unwrap_archive(F.trim(raw))["url"], lambda u: let(cut(u), build))
 
 
+def canonical(rows: DataFrame, url: str, to: str) -> DataFrame:
+    """rows with `to`: normalize(url), with a host beyond ASCII in its IDNA form. Other rows send a null to Python."""
+    plain = rows.withColumn(to, normalize(F.col(url)))
+    before = F.regexp_extract(F.col(to), r"^([a-z][a-z0-9+.\-]*://)", 1)
+    host = F.regexp_extract(F.col(to), r"^[a-z][a-z0-9+.\-]*://([^/:?#]*)", 1)
+    wide = F.when(host.rlike(r"[^\x00-\x7F]"), host)
+    name = ascii_hosts(wide)
+    return plain.withColumn(to, F.when(name.isNotNull(), F.concat(before, name, F.substr(F.col(to), F.length(before) + F.length(host) + 1))).otherwise(F.col(to)))
+
+
 def url_hash(url: Column) -> Column:
     return F.sha2(url, 256)
 
@@ -209,5 +238,8 @@ def is_namespaced(title: Column) -> Column:
     return title.rlike("^(" + "|".join(policy.NAMESPACES) + "):")
 
 
-def article_url(lang: Column, title: Column) -> Column:
-    return F.concat(F.lit("https://"), lang, F.lit(".wikipedia.org/wiki/"), F.replace(title, F.lit(" "), F.lit("_")))
+def article_url(lang: Column, title: Column, section: Column | None = None) -> Column:
+    """An article's address; section: the heading to go to, if any."""
+    spaced = lambda c: F.replace(c, F.lit(" "), F.lit("_"))
+    page = F.concat(F.lit("https://"), lang, F.lit(".wikipedia.org/wiki/"), spaced(title))
+    return page if section is None else F.concat(page, F.when(section != "", F.concat(F.lit("#"), spaced(section))).otherwise(""))

@@ -6,62 +6,90 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeflow import policy
+from citeflow.functions import urls
 
 
 def found(text: Column, needles: list[str]) -> Column:
     return F.filter(F.array(*map(F.lit, needles)), lambda n: F.contains(text, n))
 
 
-def signals(title: Column, body: Column) -> dict[str, Column]:
-    both, t, b = F.lower(F.concat_ws(" ", title, body)), F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(body, F.lit("")))
-    return {
-        "strong": found(both, policy.PARKING_PROVIDERS + policy.PARKING_PHRASES), "weak": found(both, policy.PARKING_WEAK), "sale": found(both, policy.SALE_PHRASES),
-        "soft_title": found(t, policy.SOFT_TITLES), "soft_body": found(b, policy.SOFT_PHRASES),
-    }
+def signals(title: Column, body: Column, use) -> Column:
+    """use(s), s being a struct of the lists of what is found in title and body; each text and list is made once a row."""
 
+    def lists(x: Column) -> Column:
+        return F.struct(
+            found(x["both"], policy.PARKING_PROVIDERS + policy.PARKING_PHRASES).alias("strong"), found(x["both"], policy.PARKING_WEAK).alias("weak"), found(x["both"], policy.SALE_PHRASES).alias("sale"),
+            found(x["title"], policy.SOFT_TITLES).alias("soft_title"), found(x["body"], policy.SOFT_PHRASES).alias("soft_body"),
+        )
 
-def soft_404_score(sig: dict[str, Column], url: Column, final_url: Column, content_length: Column) -> Column:
+    def texts(t: Column) -> Column:
+        title, body = F.lower(F.coalesce(t["title"], F.lit(""))), F.lower(F.coalesce(t["body"], F.lit("")))
+        return F.struct(title.alias("title"), body.alias("body"), F.concat_ws(" ", title, body).alias("both"))
+
+    return urls.let(F.struct(title.alias("title"), body.alias("body")), lambda t: urls.let(texts(t), lambda x: urls.let(lists(x), use)))
+
+
+def to_root(url: Column, final_url: Column, redirects: Column) -> Column:
+    """A redirect from below the root of a site to a root."""
     path = lambda u: F.regexp_extract(u, r"^[A-Za-z][^:]*://[^/?#]*([^?#]*)", 1)
-    deep = (F.size(F.filter(F.split(path(url), "/"), lambda s: s != "")) > 0) & path(F.coalesce(final_url, url)).isin("", "/")
+    deep = lambda u: path(u).rlike("[^/]")
+    return F.coalesce((redirects > 0) & (final_url != "") & deep(url) & ~deep(final_url), F.lit(False))
+
+
+def soft_404_score(s: Column, at_root: Column, length: Column) -> Column:
     one = lambda c, n=1: F.when(c, n).otherwise(0)
-    return one(F.size(sig["soft_title"]) > 0, 2) + one(F.size(sig["soft_body"]) > 0, 2) + one(deep) + one(F.coalesce(content_length, F.lit(0)) < policy.THIN_BODY)
+    return one(F.size(s["soft_title"]) > 0, 2) + one(F.size(s["soft_body"]) > 0, 2) + one(at_root) + one(F.coalesce(length, F.lit(0)) < policy.THIN_BODY)
 
 
 def verdict(name: str, confidence: float | Column, *reasons: Column | str) -> Column:
     told = [F.lit(r) if isinstance(r, str) else r for r in reasons]
-    return F.struct(F.lit(name).alias("classification"), (F.lit(confidence) if isinstance(confidence, float) else confidence).cast("double").alias("confidence"), F.array(*told).cast("array<string>").alias("reasons"))
+    return _verdict(name, confidence, F.array(*told))
 
 
-def classify_content(title: Column, body: Column, url: Column, final_url: Column, redirects: Column, length: Column) -> Column:
-    s = signals(title, body)
-    score = soft_404_score(s, url, final_url, length)
-    strong, sale = F.size(s["strong"]), F.size(s["sale"])
-    return (
-        F.when((sale > 0) & ((strong > 0) | (sale >= 2)), verdict("for_sale", 0.9, F.concat(F.lit("sale:"), F.array_join(s["sale"], ","))))
-        .when(strong > 0, verdict("parked", 0.85, F.concat(F.lit("parking:"), F.array_join(s["strong"], ","))))
-        .when(sale > 0, verdict("for_sale", 0.6, F.concat(F.lit("sale:"), F.array_join(s["sale"], ","))))
-        .when(score >= 2, verdict("soft_404", F.least(F.lit(0.5) + F.lit(0.15) * score, F.lit(0.9)), F.concat(F.lit("score:"), score.cast("string"))))
-        .when(F.coalesce(redirects, F.lit(0)) > 0, verdict("redirect", 0.95, "redirected"))
-        .otherwise(verdict("live", 0.9, "answered"))
-    )
+def _verdict(name: str | Column, confidence: float | Column, reasons: Column) -> Column:
+    return F.struct((F.lit(name) if isinstance(name, str) else name).alias("classification"), (F.lit(confidence) if isinstance(confidence, float) else confidence).cast("double").alias("confidence"), reasons.cast("array<string>").alias("reasons"))
+
+
+def classify_content(title: Column, body: Column, url: Column, final_url: Column, redirects: Column, length: Column, crossed: Column | None = None, status: Column | None = None) -> Column:
+    """Verdict on a page that was answered with 2xx, with the soft-404 score as a fourth field."""
+    named = lambda prefix, hits: F.transform(hits, lambda h: F.concat(F.lit(prefix), h))
+    only = lambda c, reason: F.when(c, F.array(reason)).otherwise(F.array().cast("array<string>"))
+    at_root, n = to_root(url, final_url, redirects), F.coalesce(redirects, F.lit(0))
+
+    def decide(s: Column) -> Column:
+        strong, sale, score = F.size(s["strong"]), F.size(s["sale"]), soft_404_score(s, at_root, length)
+        thin = F.coalesce(length, F.lit(0))
+        soft = F.concat(named("title:", s["soft_title"]), named("body:", s["soft_body"]), only(at_root, F.lit("deep path to root")), only(thin < policy.THIN_BODY, F.concat(F.lit("thin body:"), thin.cast("string"))))
+        moved = F.concat(F.array(F.concat(n.cast("string"), F.lit(" redirect(s) to "), F.coalesce(final_url, F.lit("")))), only(F.lit(False) if crossed is None else F.coalesce(crossed, F.lit(False)), F.lit("cross-domain handover")))
+        v = (
+            F.when((sale > 0) & ((strong > 0) | (sale >= 2)), _verdict("for_sale", 0.9, F.concat(named("sale:", s["sale"]), named("parking:", s["strong"]))))
+            .when(strong > 0, _verdict("parked", 0.85, F.concat(named("parking:", s["strong"]), named("weak:", s["weak"]))))
+            .when(sale > 0, _verdict("for_sale", 0.6, named("sale:", s["sale"])))
+            .when(score >= 2, _verdict("soft_404", F.least(F.lit(0.5) + F.lit(0.15) * score, F.lit(0.9)), soft))
+            .when(n > 0, _verdict("redirect", 0.95, moved))
+            .otherwise(verdict("live", 0.9, F.concat(F.lit("HTTP "), F.coalesce((F.lit(200) if status is None else status).cast("string"), F.lit("")))))
+        )
+        return F.struct(v["classification"].alias("classification"), v["confidence"].alias("confidence"), v["reasons"].alias("reasons"), score.alias("soft_score"))
+
+    return signals(title, body, decide)
 
 
 def classify_url(robots: Column, fetched: Column, error_kind: Column, status: Column, content: Column) -> Column:
-    kind = F.split_part(error_kind, F.lit(":"), F.lit(1))
+    """Verdict on a stored check; content is the verdict that a 2xx answer would get."""
+    kinds = F.create_map(*(x for k, (name, sure) in policy.ERROR_KINDS.items() for x in (F.lit(k), F.struct(F.lit(name).alias("name"), F.lit(sure).alias("sure")))))
+    known = F.try_element_at(kinds, F.split_part(error_kind, F.lit(":"), F.lit(1)))
+    http = F.concat(F.lit("HTTP "), status.cast("string"))
     return (
-        F.when(F.coalesce(F.contains(F.lower(robots), F.lit("disallow")), F.lit(False)), verdict("blocked_by_robots", 1.0, "robots"))
-        .when(~F.coalesce(fetched, F.lit(False)), verdict("unclassified", 0.0, "not fetched"))
-        .when(kind.startswith("dns"), verdict("dns_failure", 1.0, error_kind))
-        .when(kind.startswith("tls"), verdict("tls_failure", 1.0, error_kind))
-        .when(kind.isin("connect_timeout", "read_timeout", "connection_reset", "timeout", "transient"), verdict("temporarily_unavailable", 0.9, error_kind))
-        .when(kind.isin("permanent", "too_many_redirects", "invalid_url"), verdict("unclassified", 0.5, error_kind))
-        .when(error_kind.isNotNull(), verdict("unclassified", 0.3, error_kind))
-        .when(status.isNull(), verdict("unclassified", 0.0, "no status"))
-        .when(status.isin(404, 410), verdict("hard_404", 1.0, F.concat(F.lit("http "), status.cast("string"))))
-        .when((status == 429) | (status >= 500), verdict("temporarily_unavailable", 1.0, F.concat(F.lit("http "), status.cast("string"))))
-        .when(status.between(200, 299), content)
-        .when(status.between(400, 499), verdict("live", 0.8, F.concat(F.lit("http "), status.cast("string"))))
-        .otherwise(verdict("unclassified", 0.2, F.concat(F.lit("http "), status.cast("string"))))
+        F.when(F.coalesce(F.contains(F.lower(robots), F.lit("disallow")), F.lit(False)), verdict("blocked_by_robots", 1.0, robots))
+        .when(~F.coalesce(fetched, F.lit(False)), verdict("unclassified", 0.0, "no observation"))
+        .when((error_kind != "") & known.isNotNull(), _verdict(known["name"], known["sure"], F.array(F.concat(F.lit("error_kind="), error_kind))))
+        .when(error_kind != "", verdict("unclassified", 0.3, F.concat(F.lit("unmapped error_kind="), error_kind)))
+        .when(status.isNull(), verdict("unclassified", 0.0, "neither status nor error"))
+        .when(status.isin(404, 410), verdict("hard_404", 1.0, http))
+        .when((status == 429) | (status >= 500), verdict("temporarily_unavailable", 1.0, http))
+        .when(status.between(200, 299), F.struct(*(content[c].alias(c) for c in ("classification", "confidence", "reasons"))))
+        .when(status.between(400, 499), verdict("live", 0.8, http))
+        .otherwise(verdict("unclassified", 0.2, http))
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeflow import policy
+from citeflow.sources import dumps
 
 
 def latest(log: DataFrame, key: list[str], order: str, where: Column | None = None) -> DataFrame:
@@ -15,11 +16,60 @@ def latest(log: DataFrame, key: list[str], order: str, where: Column | None = No
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*key, "r.*")
 
 
+def _ends(log: DataFrame, key: str, order: str, state: str, carried: list[str], failed: Column | None = None) -> DataFrame:
+    """(key, latest, other, good, carried.., order): log's rows, each with its key's latest state, the last order of another state and the last that
+    did not fail. Made of aggregates, so that a key with very many rows is folded before it moves.
+    """
+    last = log.groupBy(key, F.col(state).alias("s")).agg(F.max(order).alias("o"))
+    good = F.max(F.when(~failed, F.col("o")) if failed is not None else F.lit(None).cast(log.schema[order].dataType))
+    ends = last.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", "s"))).alias("x"), good.alias("good"))  # as many as there are states
+    return log.select(key, F.col(order).alias("o"), *carried).join(ends.select(key, "good", F.element_at("x", -1)["s"].alias("latest"), F.try_element_at("x", F.lit(-2))["o"].alias("other")), key)
+
+
 def streak(log: DataFrame, key: str, order: str, state: str, look_back: int = policy.LOOK_BACK) -> DataFrame:
     """(key, state, streak): how many of the last look_back rows, from the latest on, hold the latest state."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    ranked = log.select(key, F.col(state).alias("s"), F.row_number().over(w).alias("i"), F.first(state).over(w).alias("latest")).where(F.col("i") <= look_back)
-    return ranked.groupBy(key, F.col("latest").alias(state)).agg(F.coalesce(F.min(F.when(F.col("s") != F.col("latest"), F.col("i") - 1)), F.max("i")).cast("bigint").alias("streak"))
+    since = _ends(log, key, order, state, []).where(F.col("other").isNull() | (F.col("o") > F.col("other")))
+    return since.groupBy(key, F.col("latest").alias(state)).agg(F.least(F.count(F.lit(1)), F.lit(look_back)).cast("bigint").alias("streak"))
+
+
+def url_states(log: DataFrame, key: str, order: str, state: str, at: str) -> DataFrame:
+    """(key, state, streak, terminal, next_check_at, consecutive_failures) after all verdicts of a log, `at` being when each was made (seconds).
+    A link is next checked at the cadence of its state, longer with each repeat; the failures that end the log are counted.
+    """
+    ends = _ends(log, key, order, state, [at], F.col("s").isin(*policy.FAILURES))
+    repeats, failures_ = F.count_if(F.col("other").isNull() | (F.col("o") > F.col("other"))), F.count_if(F.col("good").isNull() | (F.col("o") > F.col("good")))
+    folded = ends.groupBy(key, F.col("latest").alias("state")).agg(F.least(repeats, F.lit(policy.LOOK_BACK)).alias("streak"), failures_.alias("consecutive_failures"), F.max_by(at, "o").alias("at"))
+    next_at = F.col("at") + recheck_seconds(F.col("state"), F.col("streak") - 1)
+    return folded.select(key, "state", "streak", is_terminal(F.col("state"), F.col("streak")).alias("terminal"), next_at.alias("next_check_at"), "consecutive_failures")
+
+
+def domain_recheck_days(state: Column, expiry: Column, now: Column) -> Column:
+    """Days to the next check of a site: by its state, and soon where an active registration is about to end."""
+    days = F.create_map(*(F.lit(x) for kv in policy.DOMAIN_DAYS.items() for x in kv))
+    usual = F.coalesce(F.try_element_at(days, state), F.lit(policy.DOMAIN_DEFAULT_DAYS))
+    ending = (state == "active") & dumps.expires_within(expiry, policy.EXPIRY_WATCH_DAYS, now)
+    return F.when(ending, F.least(usual, F.lit(policy.EXPIRY_RECHECK_DAYS))).otherwise(usual)
+
+
+def reclassify(checks: DataFrame, judged: DataFrame, version: str, verdict: Column, key: str = "url", check: str = "check_id", force: bool = False) -> DataFrame:
+    """(key, check, was, classification, outcome) of the latest check of each key. judged: (check, classifier_version, classification), of which the greatest
+    version counts. outcome: current (judged by this version before, and not force), changed, or same.
+    """
+    last = latest(checks, [key], check)
+    before = judged.groupBy(check).agg(F.max_by(F.struct("classifier_version", "classification"), "classifier_version").alias("b"))
+    both = last.join(before, check, "left").withColumn("now", verdict)
+    current = F.coalesce(F.col("b.classifier_version") == version, F.lit(False)) & F.lit(not force)
+    changed = F.coalesce(F.col("b.classification") != F.col("now"), F.lit(False))
+    return both.select(key, check, F.col("b.classification").alias("was"), F.when(current, F.col("b.classification")).otherwise(F.col("now")).alias("classification"), F.when(current, "current").when(changed, "changed").otherwise("same").alias("outcome"))
+
+
+def history(checks: DataFrame, judged: DataFrame, key: str, order: str, most: int | None = None) -> DataFrame:
+    """checks with each version's verdict on them, so a row for each version, or one without; of each key the latest `most` rows."""
+    fanned = checks.join(judged, order, "left")
+    if most is None:
+        return fanned
+    w = Window.partitionBy(key).orderBy(F.desc(order), F.desc_nulls_last("classifier_version"))
+    return fanned.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
 def failures(log: DataFrame, key: str, order: str, failed: Column) -> DataFrame:
@@ -55,11 +105,25 @@ def upsert(table: DataFrame, new: DataFrame, key: list[str], order: str) -> Data
     return latest(table.unionByName(new), key, order)
 
 
-def evict(cache: DataFrame, size: str, used: str, tie: str, budget: int) -> DataFrame:
-    """The rows of a cache that go, oldest first, until the rest fits; none where the budget is not positive."""
+def evict(cache: DataFrame, size: str, used: str, tie: str, budget: int, cells: int = 1024) -> DataFrame:
+    """The rows of a cache that go, oldest first (by used, then tie; both numbers), until the rest fits; none where the budget is not positive.
+
+    Only the range of `used` in which that point lies is ordered: ranges are summed and cut again until one holds few rows or one value.
+    """
     if budget <= 0:
         return cache.limit(0)
-    total = cache.agg(F.coalesce(F.sum(size), F.lit(0)).alias("total"))
+    total, low, high, n = cache.agg(F.coalesce(F.sum(size), F.lit(0)), F.min(used), F.max(used), F.count(F.lit(1))).first()
+    need, freed = total - budget, 0
+    if need <= 0:
+        return cache.limit(0)
+    while n > policy.ORDERED_ROWS and low < high:
+        width = -(-(high - low + 1) // cells)
+        sums = cache.where(F.col(used).between(low, high)).groupBy(F.floor((F.col(used) - low) / F.lit(width)).cast("bigint").alias("cell")).agg(F.sum(size).alias("size"), F.count(F.lit(1)).alias("n"))
+        for cell, held, rows in sorted(map(tuple, sums.collect())):  # `cells` rows at most
+            if freed + held >= need:
+                low, high, n = low + cell * width, min(high, low + (cell + 1) * width - 1), rows
+                break
+            freed += held
     w = Window.orderBy(F.col(used).asc(), F.col(tie).asc()).rowsBetween(Window.unboundedPreceding, -1)
-    freed = cache.withColumn("freed", F.coalesce(F.sum(size).over(w), F.lit(0)))
-    return freed.crossJoin(F.broadcast(total)).where(F.col("freed") < F.col("total") - budget).drop("freed", "total")
+    last = cache.where(F.col(used).between(low, high)).withColumn("_freed", F.coalesce(F.sum(size).over(w), F.lit(0)) + freed)
+    return cache.where(F.col(used) < low).unionByName(last.where(F.col("_freed") < need).drop("_freed"))

@@ -1 +1 @@
-"""See the package docstring."""
+"""Registered queries beside those of the catalogue: checks and schedules, reports and records."""

@@ -18,6 +18,17 @@ PAGE_POINTS, PAGE_CAP, DEAD_TAG_POINTS, REMOVAL_POINTS, PRIVATE_SUFFIX_POINTS =
 INTERESTING = ("dns_failure", "for_sale", "hard_404", "parked", "soft_404", "tls_failure")
 FAILURES = ("dns_failure", "temporarily_unavailable", "tls_failure")
 THIN_BODY = 512
+SECRET_NAMES = ("_KEY", "_PASSWORD", "_SECRET", "_TOKEN")
+#: Verdict and confidence of each kind of transport error; a kind that is not listed is unclassified at 0.3.
+ERROR_KINDS = (
+    {k: ("dns_failure", 1.0) for k in ("dns_error", "dns_nxdomain")}
+    | {f"tls_{k}": ("tls_failure", 1.0) for k in ("cert_expired", "chain_untrusted", "error", "hostname_mismatch")}
+    | {k: ("temporarily_unavailable", 0.9) for k in ("connect_error", "connect_timeout", "connection_refused", "pool_timeout", "protocol_error", "read_error", "read_timeout", "timeout")}
+    | {k: ("unclassified", 0.5) for k in ("blocked_address", "no_host", "redirect_loop", "too_many_redirects", "unsupported_protocol")}
+)
+DOMAIN_DEFAULT_DAYS, STALL_SECONDS = 30, 90
+#: Rows that an eviction orders in one task.
+ORDERED_ROWS = 100_000
 
 PARKING_PROVIDERS = sorted("above.com/park afternic.com bodis.com cashparking.com dan.com domainparkingserver hugedomains.com namebright.com parked-content.godaddy.com parkingcrew.net parklogic.com sav.com/park sedo.com/search/ sedoparking.com undeveloped.com voodoo.com".split())
 PARKING_PHRASES = sorted(["parked free, courtesy of", "domain parking service", "this domain is parked", "the domain has been registered", "this domain name is parked", "this page is provided courtesy of", "this webpage was generated by the domain owner"])

@@ -23,8 +23,8 @@ def test_literal_tables(spark, name):
 
 def test_null_and_idna_hosts(spark):
     df = spark.createDataFrame([(None,), ("http://BÜCHER.de/",)], "u string")
-    assert [r[0] for r in df.select(urls.normalize(F.col("u"))).collect()] == [None, "http://bücher.de/"]
-    assert df.select(urls.ascii_hosts(urls.host_of(urls.part(F.lower("u"), 2)))).collect()[1][0] == "xn--bcher-kva.de"
+    df = df.unionByName(spark.createDataFrame([("http://straße.de/x",), ("http://A.com/ü",)], "u string"))
+    assert [r.n for r in urls.canonical(df, "u", "n").collect()] == [None, "http://xn--bcher-kva.de/", "http://xn--strae-oqa.de/x", "http://a.com/ü"]
     r = spark.range(1).select(urls.page_range(F.lit("p1p41242")).alias("a"), urls.page_range(F.lit("1-5")).alias("b"), urls.is_namespaced(F.lit("Category:X")).alias("c"), urls.is_namespaced(F.lit("Star Trek: First")).alias("d")).first()
     assert (tuple(r.a), tuple(r.b), r.c, r.d) == ((1, 41242), (1, 5), True, False)
     assert spark.range(1).select(urls.article_url(F.lit("en"), F.lit("A b"))).first()[0] == "https://en.wikipedia.org/wiki/A_b"
@@ -41,7 +41,7 @@ def test_dump_and_index(spark, tmp_path):
     lines = spark.createDataFrame([("601:10:A",), ("7:8:Star Trek: First",), ("bad",)], "value string")
     assert [tuple(r) for r in dumps.index_rows(lines).collect()] == [(601, 10, "A"), (7, 8, "Star Trek: First")]
     r = spark.range(1).select(dumps.dump_run(F.lit("enwiki-20260701-x")), dumps.dump_lang(F.lit("dewiki-2026")), dumps.dump_lang(F.lit("x")), dumps.pages_of(F.lit("<page><title>A &amp;lt; B</title><id>5</id><text x='1'>t</text></page>"))).first()
-    assert (r[0], r[1], r[2], tuple(r[3][0])) == ("20260701", "de", "en", (5, "A &lt; B", "t"))
+    assert (r[0], r[1], r[2], tuple(r[3][0])) == ("20260701", "de", "en", (5, "A &lt; B", "t", None))
 
 
 def test_registry_and_archive_answers(spark):
@@ -64,7 +64,7 @@ def test_wikitext():
 
 
 def test_classifier_never_says_unregistered(spark):
-    rows = [("ok", True, None, s, "") for s in (200, 404, 410, 429, 503, 403, 302, None)] + [("x", True, k, None, "") for k in ("dns:x", "tls:y", "timeout", "permanent", "odd")] + [("disallowed: disallow", False, None, 200, ""), ("ok", False, None, 200, ""), ("ok", True, None, 200, "buy this domain, this domain is for sale")]
+    rows = [("ok", True, None, s, "") for s in (200, 404, 410, 429, 503, 403, 302, None)] + [("x", True, k, None, "") for k in ("dns_error:x", "tls_error", "timeout", "no_host", "odd")] + [("disallowed: disallow", False, None, 200, ""), ("ok", False, None, 200, ""), ("ok", True, None, 200, "buy this domain, this domain is for sale")]
     df = spark.createDataFrame(rows, "robots string, fetched boolean, kind string, status int, body string")
     content = classify.classify_content(F.lit("t"), F.col("body"), F.lit("http://a/x"), F.lit("http://a/x"), F.lit(0), F.lit(9999))
     got = [r[0] for r in df.select(classify.classify_url(*(F.col(c) for c in ("robots", "fetched", "kind", "status")), content)["classification"]).collect()]
@@ -104,3 +104,72 @@ def test_page_fields(spark):
 def test_policy_fingerprint_and_priority(spark):
     assert policy.fingerprint().startswith("1+") and len(policy.fingerprint()) == 14
     assert spark.range(1).select(graph.priority(F.lit("a"), {"a": 3}), graph.priority(F.lit("b"), {"a": 3}), graph.priority(F.lit("b"), {})).first()[:] == (3, 0, 0)
+
+
+def test_streaks_and_eviction_of_hot_keys(spark, monkeypatch):
+    log = spark.createDataFrame([(1, i, "a" if i % 50 else "b") for i in range(1, 1000)] + [(2, 5, "x")], "k int, i int, s string")
+    assert sorted(map(tuple, state.streak(log, "k", "i", "s").collect())) == [(1, "a", 20), (2, "x", 1)]
+    assert sorted(map(tuple, state.streak(log, "k", "i", "s", 10_000).collect())) == [(1, "a", 49), (2, "x", 1)]
+    monkeypatch.setattr(policy, "ORDERED_ROWS", 10)
+    cache = spark.createDataFrame([(i, (i * 7) % 100, 1 + i % 5) for i in range(1000)], "n bigint, used bigint, size bigint")
+    for budget in (0, 1, 777, 2000, 2999, 3000, 5000):
+        want, freed = set(), 0
+        for used, n, size in sorted((u, n, s) for n, u, s in map(tuple, cache.collect())):
+            if budget > 0 and freed < 3000 - budget:
+                want.add(n)
+                freed += size
+        assert {r.n for r in state.evict(cache, "size", "used", "n", budget, cells=8).collect()} == want
+
+
+def test_blocks_at_offsets(spark, tmp_path):
+    import bz2
+
+    parts = [bz2.compress(f"<page><title>T{i}</title><id>{i}</id><redirect title=\"R\" /><text>x</text></page>".encode() * 50) for i in range(3)]
+    (tmp_path / "d.bz2").write_bytes(b"".join(parts))
+    offsets = spark.createDataFrame([(0,), (len(parts[0]),), (0,)], "offset bigint")
+    got = dumps.read_blocks(spark, offsets, str(tmp_path / "d.bz2")).select("offset", F.explode(dumps.pages_of(F.col("block"))).alias("p")).select("offset", "p.page_id", "p.redirect").distinct().collect()
+    assert sorted(map(tuple, got)) == [(0, 0, "R"), (len(parts[0]), 1, "R")]
+    with pytest.raises(Exception, match="too large"):
+        dumps.read_blocks(spark, offsets, str(tmp_path / "d.bz2"), most=100).collect()
+
+
+def test_dumps_of_one_run(spark):
+    names = spark.createDataFrame([("enwiki-20260701-externallinks.sql.gz", "sql"), ("enwiki-20260701-index1.txt", "index"), ("enwiki-20260601-externallinks.sql.gz", "old")], "name string, kind string")
+    assert dumps.check_same_run(names.where("kind <> 'old'")) == "20260701"
+    with pytest.raises(ValueError, match="several"):
+        dumps.check_same_run(names)
+    assert dumps.latest_dump(names, "externallinks").first()[0].startswith("enwiki-20260701")
+
+
+def test_candidate_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a,b.com", 5, '[{"name":"pages","points":3}]')], "domain string, score int, score_explanation string")
+    one, two = (export.write_candidates(rows, str(tmp_path / f"c{i}"), [f"run {i}"]) for i in range(2))
+    text = (tmp_path / "c1").read_text().splitlines()
+    assert one == two and text[0] == "# run 1" and text[1].split(",") == export.COLUMNS and text[2].startswith('"a,b.com",,5')
+    export.write_jsonl(rows, str(tmp_path / "j"), {"run": 1})
+    assert (tmp_path / "j").read_text().splitlines()[1] == '{"domain":"a,b.com","score":5,"score_explanation":[{"name":"pages","points":3}]}'
+    export.write_csv(rows, str(tmp_path / "f"), ["score"])
+    assert spark.read.option("header", True).csv(str(tmp_path / "f")).columns == ["score"]
+    for extra in ("x", "y"):
+        export.append_records(spark.createDataFrame([("n", {extra: "1"}, ["p", "q"])], "name string, specifications map<string,string>, compatibility array<string>"), str(tmp_path / "r"))
+    back = spark.read.option("mergeSchema", True).parquet(str(tmp_path / "r"))
+    assert set(back.columns) == {"name", "compatibility", "x", "y"} and back.first().compatibility == "p; q"
+    export.write_log(rows, str(tmp_path / "l"), "score")
+    assert spark.read.parquet(str(tmp_path / "l")).count() == 1
+
+
+def test_enriched_links_keep_their_archive(spark):
+    wiki = spark.createDataFrame([(1, "[http://a.com/x A] {{cite web|archive-url=http://w/9|archive-date=2020}}"), (2, "nothing")], "page_id int, text string")
+    links = spark.createDataFrame([(1, "http://a.com/x", "http://old", "1999"), (2, "http://a.com/x", "http://old", None), (3, "http://a.com/x", None, None)], "page_id int, url_raw string, archive_url string, archive_date string")
+    got = {r.page_id: (r.archive_url, r.archive_date, r.enrich_status) for r in wikitext.enriched(links, wiki).collect()}
+    assert got == {1: ("http://w/9", "2020", "done"), 2: ("http://old", None, "url_not_found_in_wikitext"), 3: (None, None, "page_missing")}
+
+
+def test_robots_rules(spark):
+    from citeflow.functions import net
+
+    rules = "User-agent: *\nDisallow: /private"
+    rows = spark.createDataFrame([(rules, "bot", "http://a.com/x"), (rules, "bot", "http://a.com/private/y"), (None, "bot", "http://a.com/")], "b string, a string, u string")
+    assert [r[0] for r in rows.select(net.robots_allow(F.col("b"), F.col("a"), F.col("u"))).collect()] == [True, False, None]
+    waits = [r[0] for r in spark.range(50).select(net.backoff(F.lit(4), 3)).collect()]
+    assert all(0 <= w <= 8 for w in waits) and len(set(waits)) > 10
