@@ -300,7 +300,7 @@ def knn(vectors: DataFrame, k: int = K, ef: int = EF, shard_rows: int = SHARD_RO
     unit = good.where(F.size("embedding") == dim).withColumn("norm", norm).where("norm > 0").select("row", "vec_id", "told", F.transform("embedding", lambda x: (x / F.col("norm")).cast("float")).alias("v"))
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-queries // BLOCK_ROWS))
     parts = -(-blocks // BLOCKS)
-    graphs = cut(unit.select("row", "vec_id", "v", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInArrow(_build, _GRAPH))
+    graphs = cut(unit.select("row", "vec_id", "v", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard")).repartition(shards, "shard").groupBy("shard").applyInArrow(_build, _GRAPH))
 
     def block(table: pa.Table) -> pa.Table:
         v = _matrix(table["v"].combine_chunks())

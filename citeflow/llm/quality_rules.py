@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeflow.llm.common import chunks, cut
+from citeflow.llm.common import chunks, cut, fresh
 from citeflow.llm.features import NAMES, dense, stop_hashes
 
 MIN_WORDS = 8
@@ -127,6 +127,7 @@ def score(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def filter_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, unchanged, whose posterior is at least threshold. Votes are counted over all rows first."""
-    coded = docs.withColumn("_citeflow_votes", vote_code(F.col("text")))
+    name = fresh(docs, "votes")
     model = fit(docs.select(vote_code(F.col("text")).alias("votes")))
-    return coded.where(probability(F.col("_citeflow_votes"), model) >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
+    coded = docs.withColumn(name, vote_code(F.col("text")))
+    return coded.where(probability(F.col(name), model) >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
