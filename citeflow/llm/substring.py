@@ -7,18 +7,26 @@ repeated window covers is removed. So any stretch of WINDOW or more words stays
 A window's fingerprint is the least of the hashes of the GRAM-word runs within it. Equal windows have equal
 fingerprints, and a document has about one fingerprint in 13 words. The index keeps them as immutable runs: Parquet
 tables in the shared folder, bucketed and sorted by fingerprint. Each new batch becomes a run, which is merge-joined
-with the older runs, bucket by bucket, without moving them; runs are compacted to one when there are more than FANOUT.
-Only documents that hold a fingerprint met twice are then verified: their windows with such a fingerprint
-are compared by the fingerprint and an independent 64-bit hash of all words of the window.
+with the older runs, bucket by bucket, without moving them; more than FANOUT runs of one size are merged to one of the next, so that a
+row is rewritten as often as the index has sizes. Only documents that hold a fingerprint met twice are then verified: their windows with
+such a fingerprint are compared by the fingerprint and an independent 64-bit hash of all words of the window.
+
+An index with a folder of its own is kept: deduplicate(batch, index=...) cuts from the batch what the batch itself or any earlier one
+holds, and adds it. Such an index keeps the texts of its batches too (window hashes would be larger), of which a later call reads those that share a fingerprint
+with the new batch. A manifest names its runs and texts; it is replaced as a whole, so a call that breaks off leaves the index as it was.
 
 Defined cases: null, empty and short texts (under WINDOW words) have no window and stay as they are; rows that share
 doc_id and text count as one document and are treated alike; null doc_ids come first in the order; an empty table gives
-an empty result; a text that is removed as a whole leaves no row; other columns pass through.
+an empty result; a text that is removed as a whole leaves no row; other columns pass through. Rows are told apart by a 64-bit key.
+With an index, all of its rows come before the batch's, in the order in which batches came.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +38,8 @@ from citeflow.llm.common import NOT_SPACE, chunks, cut, fresh, mix, row_key, sha
 WINDOW = 50
 GRAM = 25
 FANOUT = 2
+#: Runs of fewer rows count as of this size.
+LEAST_RUN = 1_000_000
 _STEP = 0xC2B2AE3D27D4EB4F
 _STEP_INV = pow(_STEP, -1, 1 << 64)
 _PART = 8 << 20
@@ -94,59 +104,106 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, row, n) in the shared folder."""
-
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark = spark
-        self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.root = f"{shared_dir(spark).rstrip('/')}/fingerprints-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
+    """Sorted immutable runs of (fp, row, n) in the shared folder, or in `root`, where they and the batches' texts stay."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None):
+        self.spark, self.kept = spark, root is not None
+        self.root = root.rstrip("/") if root else f"{shared_dir(spark).rstrip('/')}/fingerprints-{uuid.uuid4().hex}"
+        found = self._read() if self.kept else None
+        self.buckets = found["buckets"] if found else buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        #: [name, rows] of each run, and the names of the texts.
+        self.runs: list[list] = found["runs"] if found else []
+        self.texts: list[str] = found["texts"] if found else []
+        for name, _ in self.runs:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (fp BIGINT, row BIGINT, n INT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{name}'")
+
+    def _fs(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _read(self) -> dict | None:
+        fs, path = self._fs("manifest")
+        return json.loads(self.spark.read.text(str(path)).first()[0]) if fs.exists(path) else None
+
+    def commit(self) -> None:
+        """Makes the runs and texts that are held now the index that a later call opens; older ones go."""
+        fs, path = self._fs("manifest")
+        before = self._read()
+        _, draft = self._fs(f"draft-{uuid.uuid4().hex}")
+        self.spark.createDataFrame([(json.dumps({"buckets": self.buckets, "runs": self.runs, "texts": self.texts}),)], "value string").coalesce(1).write.text(str(draft))
+        fs.delete(path, True)
+        if not fs.rename(draft, path):
+            raise OSError(f"{draft} cannot be renamed to {path}")
+        for name, _ in before["runs"] if before else []:
+            if name not in [n for n, _ in self.runs]:
+                self._drop(name)
 
-    def _write(self, df: DataFrame) -> str:
+    def _write(self, df: DataFrame) -> list:
         name = f"citeflow_run_{uuid.uuid4().hex}"
         laid = df.repartition(self.buckets, "fp").sortWithinPartitions("fp")
         laid.write.format("parquet").option("path", f"{self.root}/{name}").bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name)
-        return name
+        return [name, self.spark.table(name).count()]
 
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = self._fs(name)
+        fs.delete(path, True)
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Appends a batch as a run; (fp) of the batch that it, or it and an older run, holds twice."""
-        name = self._write(batch)
-        new = self.spark.table(name).groupBy("fp").agg(F.sum("n").alias("n"))
+        run = self._write(batch)
+        new = self.spark.table(run[0]).groupBy("fp").agg(F.sum("n").alias("n"))
         hits = new.where("n > 1").select("fp")
         once = new.where("n = 1").select("fp")
-        for run in self.runs:
-            hits = hits.unionByName(once.join(self.spark.table(run).select("fp"), "fp", "left_semi"))
+        for name, _ in self.runs:
+            hits = hits.unionByName(once.join(self.spark.table(name).select("fp"), "fp", "left_semi"))
         hits = cut(hits.distinct())
-        self.runs.append(name)
+        self.runs.append(run)
         return hits
 
     def compact(self) -> None:
-        """Merges the runs to one when there are more than FANOUT."""
-        if len(self.runs) > FANOUT:
-            old = self.runs
-            self.runs = [self._write(self.rows())]
-            for name in old:
-                self._drop(name)
+        """Merges the runs of one size, where there are more than FANOUT, to one; sizes grow by FANOUT + 1."""
+        while True:
+            tiers: dict[int, list[list]] = {}
+            for run in self.runs:
+                tiers.setdefault(int(math.log(max(run[1], LEAST_RUN), FANOUT + 1)), []).append(run)
+            full = next((t for _, t in sorted(tiers.items()) if len(t) > FANOUT), None)
+            if full is None:
+                return
+            merged = self._write(self._union(full))
+            self.runs = [r for r in self.runs if r not in full] + [merged]
+            if not self.kept:  # what the manifest names goes with the next manifest
+                for name, _ in full:
+                    self._drop(name)
+
+    def _union(self, runs: list[list]) -> DataFrame:
+        return reduce(DataFrame.unionByName, (self.spark.table(name) for name, _ in runs))
 
     def rows(self) -> DataFrame:
-        df = self.spark.table(self.runs[0])
-        for run in self.runs[1:]:
-            df = df.unionByName(self.spark.table(run))
-        return df
+        return self._union(self.runs)
+
+    def history(self) -> DataFrame | None:
+        """(_row, text) of the batches before."""
+        return self.spark.read.parquet(*(f"{self.root}/{t}" for t in self.texts)) if self.texts else None
+
+    def remember(self, base: DataFrame) -> None:
+        name = f"texts-{uuid.uuid4().hex}"
+        base.select("_row", "text").write.parquet(f"{self.root}/{name}")
+        self.texts.append(name)
 
     def close(self) -> None:
-        for name in self.runs:
-            self._drop(name)
-        self.runs = []
+        """Drops an index that is not kept."""
+        if not self.kept:
+            for name, _ in self.runs:
+                self._drop(name)
+            self.runs = []
+
+
+_NAMES = ["bucket", "blob", "row", "pos", "mask"]
 
 
 def _records(batches, buckets: int):
-    """(bucket, blob) of the windows to be verified. Rows in: _row, doc_id, text, fps."""
+    """Rows in: _row, doc_id, text, fps. Out: (bucket, blob) of the windows to be verified, and (row, pos, mask), without a bucket, of those that come again here."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
@@ -175,12 +232,14 @@ def _records(batches, buckets: int):
         mask = np.zeros(len(head), np.uint64)
         np.bitwise_or.at(mask, record[~first], bit[~first])
         some = np.bincount(record, first, len(head)) > 0
-        count = np.where(some, np.diff(np.append(head, len(fp))), 0).astype(np.uint8)
-        bucket = ((mix(fp[head], 41) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        # what is known to be repeated needs no bucket: only records with a first window do
+        told = pa.RecordBatch.from_arrays([pa.nulls(n := int((mask > 0).sum()), pa.int32()), pa.nulls(n, pa.binary()), pa.array(key[head][mask > 0]), pa.array(pos[head][mask > 0].astype(np.int32)), pa.array(mask[mask > 0].astype(np.int64))], names=_NAMES)
+        count = np.where(some, np.diff(np.append(head, len(fp))), 0)
+        fp, key, doc, pos, mask = fp[head][some], key[head][some], doc[head][some], pos[head][some], mask[some]
+        hs, count = h[some[record]], count[some].astype(np.uint8)
+        bucket = ((mix(fp, 41) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        take = some[record]
         starts = np.concatenate([[0], np.cumsum(count.astype(np.int64))])
-        hs = h[take]
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         ids, blobs = [], []
         for b in np.flatnonzero(np.diff(edges)):
@@ -188,12 +247,13 @@ def _records(batches, buckets: int):
             n = count[k].astype(np.int64)
             at = np.repeat(starts[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             ids.append(int(b))
-            blobs.append(b"".join((np.uint32(len(k)).tobytes(), fp[head[k]].tobytes(), key[head[k]].tobytes(), doc[head[k]].tobytes(), pos[head[k]].astype(np.uint32).tobytes(), mask[k].astype(np.uint32).tobytes(), count[k].tobytes(), hs[at].tobytes())))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            blobs.append(b"".join((np.uint32(len(k)).tobytes(), fp[k].tobytes(), key[k].tobytes(), doc[k].tobytes(), pos[k].astype(np.uint32).tobytes(), mask[k].astype(np.uint32).tobytes(), count[k].tobytes(), hs[at].tobytes())))
+        m = len(ids)
+        return told, pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names=_NAMES)
 
     for batch in batches:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
-        docs = batch.column(1).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+        docs = batch.column(1).fill_null(_NULL).to_numpy(zero_copy_only=False)
         lists = batch.column(3)
         flat, edges = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
         for lo, hi, data, at in chunks(batch.column(2)):
@@ -208,9 +268,9 @@ def _records(batches, buckets: int):
                 held.append((docs[lo:hi][r[use]], keys[lo:hi][r[use]], pos[use], fp[use], h[use]))
             size += len(data)
             if size > _PART and held:
-                yield out()
+                yield from out()
     if held:
-        yield out()
+        yield from out()
 
 
 def _decide(table: pa.Table) -> pa.Table:
@@ -241,7 +301,7 @@ def _decide(table: pa.Table) -> pa.Table:
     itself = (row[record][by[owner]] == row[record][later]) & (place[by[owner]] == place[later])
     later = later[~itself]
     np.bitwise_or.at(mask, record[later], (np.uint32(1) << inside[later].astype(np.uint32)).astype(np.uint32))
-    use = mask > 0
+    use = mask > 0  # what was told before is told again: masks are joined
     return pa.table({"row": row[use], "pos": pos[use].astype(np.int32), "mask": mask[use].astype(np.int64)})
 
 
@@ -254,26 +314,43 @@ def _ranges(docs: DataFrame, batches: int) -> list[Column]:
     return [*last, F.col("doc_id") >= edges[-1]]
 
 
-def repeated_windows(docs: DataFrame, batches: int = 3) -> DataFrame:
+#: The places, in the order of rows, of those of an index and of null doc_ids.
+_BEFORE, _NULL = -(1 << 63), -(1 << 63) + 1
+
+
+def repeated_windows(docs: DataFrame, batches: int = 3, index: FingerprintIndex | None = None) -> DataFrame:
     """(row, marks): for each row key of docs that has repeated windows, the (pos, mask) that hold them, in order.
 
-    docs goes into the index in batches by ranges of doc_id; the number of batches does not change the result.
+    docs goes into the index in batches by ranges of doc_id; the number of batches does not change the result. A given index is added to.
     """
     spark = docs.sparkSession
     base = docs.select(row_key("doc_id", "text").alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    index = FingerprintIndex(spark)
-    hits = None
-    for part in _ranges(base, batches):
-        found = index.add(fingerprints(base.where(part)))
-        hits = found if hits is None else hits.unionByName(found)
-        index.compact()
-    lists = cut(index.rows().join(hits.distinct(), "fp", "left_semi").groupBy("row").agg(F.collect_set("fp").alias("fps")))
-    index.close()
-    buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chosen = base.join(lists.withColumnRenamed("row", "_row"), "_row").select("_row", "doc_id", "text", "fps")
-    records = chosen.mapInArrow(lambda it: _records(it, buckets), "bucket int, blob binary")
-    marks = records.groupBy("bucket").applyInArrow(_decide, "row bigint, pos int, mask bigint")
-    return cut(marks.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("pos", "mask"))).alias("marks")))
+    own = index or FingerprintIndex(spark)
+    try:
+        hits, history = None, own.history()
+        for part in _ranges(base, batches):
+            found = own.add(fingerprints(base.where(part)))
+            hits = found if hits is None else hits.unionByName(found)
+            own.compact()
+        lists = cut(own.rows().join(hits.distinct(), "fp", "left_semi").groupBy("row").agg(F.collect_set("fp").alias("fps")).withColumnRenamed("row", "_row"))
+        if own.kept:
+            own.remember(base)
+            own.commit()
+    finally:
+        own.close()
+    known = lists.agg(F.sum(F.size("fps").cast("bigint"))).first()[0] or 0
+    buckets = int(max(32, int(spark.conf.get("spark.sql.shuffle.partitions")), known // 200_000))
+    rows = base.select("_row", F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"), "text")
+    if history is not None:
+        rows = rows.unionByName(history.select("_row", F.lit(_BEFORE).cast("bigint").alias("doc_id"), "text"))
+    chosen = rows.join(lists, "_row").select("_row", "doc_id", "text", "fps")
+    records = cut(chosen.mapInArrow(lambda it: _records(it, buckets), "bucket int, blob binary, row bigint, pos int, mask bigint"))
+    met = records.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_decide, "row bigint, pos int, mask bigint")
+    marks = met.unionByName(records.where("bucket is null").select("row", "pos", "mask")).groupBy("row", "pos").agg(F.bit_or("mask").alias("mask"))
+    marks = marks.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "mask"))).alias("marks"))
+    if history is not None:  # what the index holds is not judged again
+        marks = marks.join(base.select(F.col("_row").alias("row")).distinct(), "row", "left_semi")
+    return cut(marks)
 
 
 def _spans(marks) -> list[list[int]]:
@@ -292,11 +369,11 @@ def _spans(marks) -> list[list[int]]:
     return out
 
 
-def repeated_spans(docs: DataFrame, batches: int = 3) -> DataFrame:
+def repeated_spans(docs: DataFrame, batches: int = 3, index: FingerprintIndex | None = None) -> DataFrame:
     """(doc_id, start_word, end_word) of each maximal stretch of words, from 0 and end excluded, that repeats
     what comes earlier. Rows repeated as a whole give their stretches once each.
     """
-    marks = repeated_windows(docs, batches)
+    marks = repeated_windows(docs, batches, index)
 
     def of(batches):
         for batch in batches:
@@ -333,10 +410,10 @@ def _cut_text(text: pa.Array, marks: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def deduplicate(docs: DataFrame, batches: int = 3) -> DataFrame:
+def deduplicate(docs: DataFrame, batches: int = 3, index: FingerprintIndex | None = None) -> DataFrame:
     """docs with repeated stretches cut from text, and n_chars, where there is one, counted anew; rows of which nothing is left go."""
     row, marked = fresh(docs, "row"), fresh(docs, "marks")
-    marks = repeated_windows(docs, batches).select(F.col("row").alias(row), F.col("marks").alias(marked))
+    marks = repeated_windows(docs, batches, index).select(F.col("row").alias(row), F.col("marks").alias(marked))
     joined = docs.withColumn(row, row_key("doc_id", "text")).join(marks, row, "left")
     has = F.col(marked).isNotNull()
     cutting = F.arrow_udf(_cut_text, "string")
