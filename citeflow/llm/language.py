@@ -19,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeflow.llm.common import chunks
+from citeflow.llm.common import chunks, cut
 
 MAX_N = 3
 LANDMARKS = 256
 SAMPLE = 400
 RIDGE = 1e-2
+#: Bounds of the fit: labels, and characters of a text.
+LABELS = 1000
+FIT_CHARS = 50_000
 _BATCH = 128
 
 SIGN = np.zeros(256, np.int32)
@@ -150,10 +153,15 @@ class Model:
 
 
 def fit(docs: DataFrame, label: str = "lang", per_label: int = SAMPLE) -> Model | None:
-    """A model from at most per_label rows of each label, taken by the hash of the row."""
-    known = docs.select(F.col(label).cast("string").alias("y"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("r")).where("y is not null and length(text) > 0")
-    keys = known.select("y", "r").withColumn("i", F.row_number().over(Window.partitionBy("y").orderBy("r"))).where(F.col("i") <= per_label).select("y", "r")
-    rows = known.join(keys, ["y", "r"], "left_semi").dropDuplicates(["y", "r"]).orderBy("r", "y").collect()
+    """A model from at most per_label rows of each label, taken by the hash of the row, of texts of 1 to FIT_CHARS characters. There may be LABELS labels at most."""
+    text = F.col("text").cast("string")
+    known = docs.select(F.col(label).cast("string").alias("y"), text.alias("text"), F.xxhash64("doc_id", "text").alias("r")).where(F.col("y").isNotNull() & F.length("text").between(1, FIT_CHARS))
+    keys = cut(known.select("y", "r").withColumn("i", F.row_number().over(Window.partitionBy("y").orderBy("r"))).where(F.col("i") <= per_label).select("y", "r").distinct())
+    if keys.select("y").distinct().count() > LABELS:
+        raise ValueError(f"more than {LABELS} labels")
+    # at most per_label * LABELS keys of some 16 bytes: the texts stay where they are
+    rows = known.join(F.broadcast(keys), ["y", "r"], "left_semi").groupBy("r", "y").agg(F.first("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["r"], r["y"]))
     return Model([r["text"] for r in rows], [r["y"] for r in rows]) if rows else None
 
 
