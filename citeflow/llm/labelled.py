@@ -13,10 +13,15 @@ def agreed(labels: DataFrame, label: str) -> DataFrame:
     return known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y1")).where("y = y1").select("doc_id", "y")
 
 
+#: Characters of the longest document that a fit takes: a bound of the driver's sample. Longer ones are scored as all are.
+FIT_CHARS = 50_000
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[str], np.ndarray]:
-    """(texts, 0/1 labels) of at most `most` labelled documents, taken by the hash of their doc_id."""
+    """(texts, 0/1 labels) of at most `most` labelled documents, taken by the hash of their doc_id, but for those of more than FIT_CHARS; of rows
+    that share a doc_id one."""
     taken = agreed(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(taken, "doc_id").select("doc_id", "text", "y").collect()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= FIT_CHARS).join(F.broadcast(taken), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).collect()
     rows.sort(key=lambda r: (r[0], r[1]))
     return [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
 
