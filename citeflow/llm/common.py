@@ -40,6 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_key(*cols: str) -> Column:
     """64-bit key of a row that is defined for nulls too; rows equal in these columns share it."""
     return F.xxhash64(*cols)

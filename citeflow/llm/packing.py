@@ -97,13 +97,13 @@ def copy_cluster(text: Column) -> Column:
     return F.xxhash64(F.lower(F.regexp_replace(F.trim(text), "\\s+", " ")))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: Column | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """SCHEMA: where each piece of each document lies. cluster: a column that names a row's duplicate cluster; by
-    default copy_cluster.
+def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: Column | None = None, shard_rows: int = SHARD_ROWS, size: Column | None = None) -> DataFrame:
+    """SCHEMA: where each piece of each document lies. cluster: a column that names a row's duplicate cluster, such as the root of
+    ngram_join.groups; by default copy_cluster. size: a row's tokens, such as token_counts' n_tokens; by default its words.
     """
     text = F.col("text").cast("string")
     rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), n_tokens(text).alias("n"), F.xxhash64("doc_id", "text").alias("row"), F.col("source").cast("string").alias("source"),
+        F.col("doc_id").cast("bigint").alias("doc_id"), (n_tokens(text) if size is None else F.coalesce(size.cast("bigint"), F.lit(0))).alias("n"), F.xxhash64("doc_id", "text").alias("row"), F.col("source").cast("string").alias("source"),
         (copy_cluster(text) if cluster is None else cluster.cast("bigint")).alias("cluster"),
     ).where("n > 0")
     shards = max(1, docs.count() // shard_rows)
