@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
@@ -131,6 +131,36 @@ def phone(text: Column) -> Column:
     return F.when(F.length(kept) >= 7, kept)
 
 
+def address(text: Column) -> Column:
+    kept = F.trim(text)
+    return F.when(F.length(kept) > 5, kept)
+
+
+def website(href: Column) -> Column:
+    return F.when(href.startswith("http"), href)
+
+
+def reviews(text: Column) -> Column:
+    """The digits of a count of reviews."""
+    return F.nullif(F.regexp_replace(text, r"\D", ""), F.lit(""))
+
+
+def price(text: Column) -> Column:
+    return F.nullif(F.trim(F.replace(text, F.lit("$"))), F.lit(""))
+
+
+def mail(href: Column) -> Column:
+    """The address of a mailto link, without what follows a question mark."""
+    return F.when(F.lower(href).startswith("mailto:"), F.nullif(F.trim(F.split_part(F.substr(href, F.lit(8)), F.lit("?"), F.lit(1))), F.lit("")))
+
+
+def nearest_heading(lines, article: str, number: str, line: str):
+    """lines (article, number, line) with section, the heading that is nearest above each, '(lead)' before the first."""
+    name = F.nullif(F.regexp_extract(line, r"^(={2,6})\s*(\S.*?)\s*\1\s*$", 2), F.lit(""))
+    w = Window.partitionBy(article).orderBy(number).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return lines.withColumn("section", F.coalesce(F.last(name, ignorenulls=True).over(w), F.lit("(lead)")))
+
+
 def savings(text: Column) -> Column:
     """struct(amount, percent) of 'You Save: $12 (10%)'."""
     shape = r"\$?([\d.,]+)\s*\(([\d.]+)%\)"

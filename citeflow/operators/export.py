@@ -66,6 +66,12 @@ def write_csv(rows: DataFrame, folder: str, columns: list[str] | None = None, mo
     (rows if columns is None else rows.select(*columns)).write.mode(mode).option("header", True).csv(folder)
 
 
+def write_both(rows: DataFrame, folder: str) -> None:
+    """The rows as CSV and as JSON lines, in two folders below the one given."""
+    write_csv(rows, f"{folder}/csv")
+    rows.write.mode("overwrite").json(f"{folder}/json")
+
+
 #: The columns of part records that lead, in order.
 LEADING = ("brand", "part_number", "name", "price", "dimensions", "weight", "description", "compatibility")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citeflow.functions import pages
@@ -150,6 +151,26 @@ def record_table(spark, d):
     return export.record_table(rows).fillna(0)
 
 
+_FIELDS = [("Tel. 555-0100 ", "12 Main St", "https://a.com", "1,234 reviews", "$ 9.50", "mailto:x@a.com?subject=hi"), ("12", "short", "/local", "none", "$", "tel:1"), (None,) * 6]
+_CLEAN = [("555-0100", "12 Main St", "https://a.com", "1234", "9.50", "x@a.com"), (None,) * 6, (None,) * 6]
+
+
+@register(values([(i, *r) for i, r in enumerate(_CLEAN)], "case_no, phone, address, website, reviews, price, mail"))
+def listing_fields(spark, d):
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(_FIELDS)], "case_no int, phone string, address string, website string, reviews string, price string, mail string")
+    return rows.select("case_no", *(getattr(pages, c)(F.col(c)).alias(c) for c in ("phone", "address", "website", "reviews", "price", "mail")))
+
+
+_LINE = "CASE WHEN l_linenumber = 2 THEN '== H' || l_partkey || ' ==' WHEN l_linenumber = 5 THEN '=== K ===' ELSE 'text' END"
+
+
+@register(f"""WITH l AS (SELECT l_orderkey AS article, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS number, {_LINE} AS line FROM lineitem), h AS (SELECT *, nullif(regexp_extract(line, '^={{2,}} (.*) ={{2,}}$', 1), '') AS h FROM l)
+SELECT article, number::BIGINT AS number, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY article ORDER BY number), '(lead)') AS section FROM h""")
+def nearest_heading(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("article"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("bigint").alias("number"), F.expr(_LINE).alias("line"))
+    return pages.nearest_heading(li, "article", "number", "line").select("article", "number", "section")
+
+
 _ANSWERS = [
     ("a.com", 0, 200, '{"query":{"exturlusage":[{"title":"A"},{"title":"B"}]},"continue":{"eucontinue":"1"}}'), ("a.com", 1, 200, '{"query":{"exturlusage":[{"title":"B"},{"title":"C"}]}}'), ("b.com", 0, 200, '{"error":{"code":"maxlag"}}'), ("c.com", 0, 429, "busy"), ("d.com", 0, 200, "not json"), ("e.com", 0, 200, '{"query":{"exturlusage":[]}}'),
     *[("f.com", i, 200, '{"query":{"exturlusage":[{"title":"T%d"}]},"continue":{"eucontinue":"x"}}' % i) for i in range(4)],

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import tomllib
 
 RECHECK_DAYS = {"blocked_by_robots": 180, "dns_failure": 7, "for_sale": 7, "hard_404": 30, "live": 90, "parked": 7, "redirect": 90, "soft_404": 30, "tls_failure": 14, "unregistered": 3}
 RECHECK_DEFAULT_DAYS, TRANSIENT_SECONDS, TRANSIENT_CAP, TRANSIENT_AFTER = 30, 3600, 86_400, 7 * 86_400
@@ -47,7 +49,31 @@ NAMESPACES = sorted([n + t for n in ("Book", "Category", "Draft", "File", "Help"
 SUFFIXES = {s: False for s in "com net org edu gov mil int info biz io co uk de fr es it nl pl eu us ca au jp cn br in ru ch at be se no dk fi cz pt gr ie nz za mx ar kr tv me cc ai app dev xyz online site co.uk org.uk ac.uk gov.uk me.uk com.au net.au org.au edu.au gov.au co.nz org.nz co.jp ac.jp ne.jp or.jp com.br org.br gov.br com.cn org.cn co.in org.in ac.in com.mx com.ar co.kr co.za com.pl org.pl edu.pl *.ck !www.ck".split()} | {s: True for s in "blogspot.com github.io gitlab.io herokuapp.com netlify.app pages.dev web.app wordpress.com poznan.pl azurewebsites.net cloudfront.net s3.amazonaws.com".split()}
 
 
-def fingerprint() -> str:
-    """Version of the classifier with this policy: 1+ and a digest of every constant above."""
-    held = {k: v for k, v in globals().items() if k.isupper()}
+def defaults() -> dict:
+    return {k: v for k, v in globals().items() if k.isupper()}
+
+
+def load(file: str | None = None, env: dict[str, str] | None = None, given: dict | None = None) -> dict:
+    """The constants above as they are set: by what is given, else by CITEFLOW_<NAME> of env (JSON), else by the file (TOML; names in
+    any case), else as above. A table replaces the one that it sets, and is not merged with it. An unknown name or another kind of value is an error.
+    """
+    told: dict = {}
+    if file is not None and os.path.isfile(file):
+        with open(file, "rb") as f:
+            told |= {k.upper(): v for k, v in tomllib.load(f).items()}
+    told |= {k.removeprefix("CITEFLOW_"): json.loads(v) for k, v in (env or {}).items() if k.startswith("CITEFLOW_") and k.removeprefix("CITEFLOW_") in defaults()}
+    told |= {k.upper(): v for k, v in (given or {}).items() if v is not None}
+    base = defaults()
+    for k, v in told.items():
+        if k not in base:
+            raise ValueError(f"unknown setting {k}")
+        kind = (int, float) if isinstance(base[k], (int, float)) else (list, tuple) if isinstance(base[k], (list, tuple)) else type(base[k])
+        if not isinstance(v, kind) or isinstance(v, bool) != isinstance(base[k], bool):
+            raise ValueError(f"{k} must be of the kind of {type(base[k]).__name__}")
+    return base | told
+
+
+def fingerprint(settings: dict | None = None) -> str:
+    """Version of the classifier with this policy: 1+ and a digest of every constant above, or of what load() gave."""
+    held = defaults() if settings is None else settings
     return "1+" + hashlib.sha256(json.dumps(held, sort_keys=True).encode()).hexdigest()[:12]

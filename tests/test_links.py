@@ -173,3 +173,55 @@ def test_robots_rules(spark):
     assert [r[0] for r in rows.select(net.robots_allow(F.col("b"), F.col("a"), F.col("u"))).collect()] == [True, False, None]
     waits = [r[0] for r in spark.range(50).select(net.backoff(F.lit(4), 3)).collect()]
     assert all(0 <= w <= 8 for w in waits) and len(set(waits)) > 10
+
+
+def test_settings(tmp_path):
+    (tmp_path / "p.toml").write_text("look_back = 7\nthin_body = 9\n[state_points]\nparked = 1\n")
+    got = policy.load(str(tmp_path / "p.toml"), {"CITEFLOW_THIN_BODY": "10", "HOME": "/"}, {"breaker": 2})
+    assert (got["LOOK_BACK"], got["THIN_BODY"], got["BREAKER"], got["STATE_POINTS"]) == (7, 10, 2, {"parked": 1})
+    assert policy.load() == policy.defaults() and policy.fingerprint(got) != policy.fingerprint()
+    for bad in ({"nothing": 1}, {"breaker": "x"}, {"state_points": [1]}):
+        with pytest.raises(ValueError):
+            policy.load(given=bad)
+
+
+def test_streaks_in_a_stream_equal_batch(spark, tmp_path):
+    rows = [(k, i, "ok" if (i * k) % 7 < 5 else "dead") for i in range(30) for k in (1, 2, 3)]
+    for n in range(3):
+        part = rows[n * 30 : n * 30 + 30] + rows[:5]  # some come again
+        spark.createDataFrame(part, "k int, i bigint, s string").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    log = spark.readStream.schema("k int, i bigint, s string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    out = folds.streak_stream(log, "k", "i", "s", ["dead"])
+    q = out.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(str(tmp_path / f"out/{n}"))).outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    last = {}
+    for n in range(3):
+        last |= {r.k: (r.s, r.streak, r.failures) for r in spark.read.parquet(str(tmp_path / f"out/{n}")).collect()}
+    log = spark.createDataFrame(rows, "k int, i bigint, s string")
+    want = {r.k: (r.s, r.streak) for r in state.streak(log, "k", "i", "s").collect()}
+    assert {k: v[:2] for k, v in last.items()} == want and {k: v[2] for k, v in last.items()} == {k: s[1] if s[0] == "dead" else 0 for k, s in want.items()}
+
+
+def test_inspect_gathers_what_belongs_to_a_site(spark):
+    from citeflow.operators import inspect
+
+    h = spark.range(1).select(F.sha2(F.lit("http://a.com/x"), 256)).first()[0]
+    make = spark.createDataFrame
+    tables = {
+        "domains": make([(1, "a.com"), (2, "b.com")], "domain_id int, registrable_domain string"), "urls": make([(h, "http://a.com/x", 1), ("h2", "http://b.com/", 2)], "url_hash string, url string, domain_id int"),
+        "url_checks": make([(10, h, 5), (11, h, 6), (12, "h2", 7)], "check_id int, url_hash string, checked_at int"), "url_classifications": make([(10, h, "1+a", "live"), (10, h, "1+b", "parked")], "check_id int, url_hash string, classifier_version string, classification string"),
+        "domain_checks": make([(20, 1, 5)], "check_id int, domain_id int, checked_at int"), "domain_classifications": make([(20, 1, "active")], "check_id int, domain_id int, state string"),
+        "links": make([(1, h, 7, "r", "done"), (2, h, 8, "r", "pending")], "id int, url_hash string, page_id int, dump_run string, enrich_status string"), "pages": make([(7, "r", "Z"), (8, "r", "A")], "page_id int, dump_run string, title string"),
+    }
+    assert inspect.resolve(tables, "http://A.com/x") == ("url", h) and inspect.resolve(tables, "www.a.com/none") == ("domain", "a.com") and inspect.resolve(tables, "c.com")[0] == "unknown"
+    got = inspect.gather(tables, "a.com")
+    assert [r.check_id for r in got["checks"].collect()] == [11, 10, 10] and [r.title for r in got["citations"].collect()] == ["Z", "A"] and got["domain_checks"].first().state == "active" and got["urls"].count() == 1
+    assert set(inspect.gather(tables, "http://a.com/x")) == {"domain", "urls", "checks", "citations"} and inspect.gather(tables, "nowhere.org") == {}
+    seen, now = [], [0.0]
+    r = inspect.Refresher(lambda b: seen.append(b), 5, lambda: now[0])
+    for t in (0, 3, 6, 7):
+        now[0] = t
+        r(t, t)
+    assert seen == [0, 6] and r(9, 9, force=True) and seen[-1] == 9
+    page = inspect.gap_page(make([("a", True, "200"), ("b", None, None)], "url_hash string, has boolean, status string"), make([("a", 1), ("a", 2), ("b", 1)], "url_hash string, page_id int"), classify.gap_verdict(F.col("has"), F.col("status")))
+    assert sorted(map(tuple, page["reach"].collect())) == [("recoverable", 2, 2), ("unknown", 1, 1)]
