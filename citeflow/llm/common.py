@@ -6,6 +6,7 @@ at a time, so no Python object is made per document or per word.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import tempfile
@@ -62,6 +63,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def trim() -> None:
+    """Gives back what a worker no longer holds: workers stay, and allocators keep what large kernels freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # ---------------------------------------------------------------- byte kernels
 
 FOLD = np.arange(256, dtype=np.uint8)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeflow.llm.common import ALNUM, chunks, cut, fresh, mix, row_key, word_hashes, words
+from citeflow.llm.common import ALNUM, chunks, cut, fresh, mix, row_key, trim, word_hashes, words
 
 #: Prefix n-grams that a candidate pair must share.
 LEAST = 4
@@ -44,6 +44,8 @@ SLICE = 1 << 18
 FAN_IN = 128
 #: Classes of a cluster to a block.
 BLOCK = 1024
+#: Postings that a task holds before it hands them on, and postings to a bucket.
+HELD, BUCKET = 1_000_000, 1_000_000
 #: Pairs between clusters up to which the keys of their texts (16 bytes each) are broadcast; beyond, texts are moved.
 FEW = 500_000
 _BITS = np.uint64(52)
@@ -119,6 +121,8 @@ def levels(base: DataFrame, n: int) -> np.ndarray:
             count = sketch.total[i * SLICE : (i + 1) * SLICE]
             if count.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part], pa.int64()), pa.array([_squeezed(count)], pa.binary())], names=["slice", "part", "blob"])
+        del sketch
+        trim()
 
     schema = "slice int, part bigint, blob binary"
     found = cut(base.select("text").mapInArrow(of, schema))
@@ -199,6 +203,7 @@ def signatures(base: DataFrame, n: int, t: Fraction, level) -> DataFrame:
                 has = pa.array(np.flatnonzero(size > 0))
                 columns = [batch.column(0).slice(lo, rows), batch.column(1).slice(lo, rows), pa.array(size.astype(np.int32)), pa.array(gid.view(np.int64)), pa.array(cid.view(np.int64)), *_minima(row, gram, size)]
                 yield pa.RecordBatch.from_arrays([c.take(has) for c in columns], names=["_row", "doc_id", "size", "gid", "cid", "bands", "minima"])
+        trim()
 
     return base.mapInArrow(of, "_row bigint, doc_id bigint, size int, gid bigint, cid bigint, bands array<bigint>, minima array<smallint>")
 
@@ -240,48 +245,53 @@ def _spread(n: int, t: Fraction, level, buckets: int):
     """Rows in: cid, cluster, gid, n, block, blocks, text. Out: with a bucket, the postings of prefix n-grams that hash there; without,
     the whole set of a class that shares its cluster."""
 
+    names = ["bucket", "blob", "cid", "cluster", "block", "blocks", "n"]
+
+    def postings(parts):
+        bucket, gid, token, place, size, cluster = (np.concatenate(x) for x in zip(*parts, strict=True))
+        # one record a group and bucket: groups met together that are equal collapse here
+        by = np.lexsort((token, gid, bucket))
+        bucket, gid, token, place, size, cluster = (x[by] for x in (bucket, gid, token, place, size, cluster))
+        new = np.ones(len(gid), bool)
+        new[1:] = (gid[1:] != gid[:-1]) | (bucket[1:] != bucket[:-1])
+        fresh_one = new.copy()
+        fresh_one[1:] |= token[1:] != token[:-1]
+        bucket, gid, token, place, size, cluster, new = (x[fresh_one] for x in (bucket, gid, token, place, size, cluster, new))
+        head = np.flatnonzero(new)
+        count = np.diff(np.append(head, len(gid))).astype(np.uint32)
+        ids, blobs = [], []
+        edges, hedges = np.searchsorted(bucket, np.arange(buckets + 1)), np.searchsorted(bucket[head], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(edges)):
+            h, e = slice(hedges[b], hedges[b + 1]), slice(edges[b], edges[b + 1])
+            k = head[h]
+            ids.append(int(b))
+            blobs.append(b"".join((np.uint32(len(k)).tobytes(), gid[k].tobytes(), cluster[k].tobytes(), size[k].tobytes(), count[h].tobytes(), token[e].tobytes(), place[e].tobytes())))
+        m = len(ids)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names=names)
+
     def of(batches):
+        parts, held = [], 0
         for batch in batches:
-            parts = []
-            cid, cluster, gid = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cluster, gid = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             blocks = batch.column(5).to_numpy(zero_copy_only=False)
             for lo, hi, row, gram in gram_sets(batch.column(6), n):
-                rows = hi - lo
-                at = np.searchsorted(row, np.arange(rows + 1))
+                at = np.searchsorted(row, np.arange(hi - lo + 1))
                 several = np.flatnonzero(blocks[lo:hi] > 0)
                 if len(several):
                     k = pa.array(several + lo)
                     blobs = pa.array([_packed(gram[at[i] : at[i + 1]]) for i in several], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int32()), blobs, *(batch.column(i).take(k) for i in (0, 1, 4, 5, 3))], names=["bucket", "blob", "cid", "cluster", "block", "blocks", "n"])
-                prow, pgram, place, size = prefixes(row, gram, rows, t, level.value)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int32()), blobs, *(batch.column(i).take(k) for i in (0, 1, 4, 5, 3))], names=names)
+                prow, pgram, place, size = prefixes(row, gram, hi - lo, t, level.value)
                 bucket, token = _token(pgram, buckets)
                 r = prow + lo
-                parts.append((bucket, gid[r], token, (place * 256 // size[prow]).astype(np.uint8), size[prow].astype(np.uint32), cluster[r]))
-            if not parts:
-                continue
-            bucket, gid, token, place, size, cluster = (np.concatenate(x) for x in zip(*parts, strict=True))
-            # one record a group and bucket: groups of one batch that are equal collapse here
-            by = np.lexsort((token, gid, bucket))
-            bucket, gid, token, place, size, cluster = (x[by] for x in (bucket, gid, token, place, size, cluster))
-            new = np.ones(len(gid), bool)
-            new[1:] = (gid[1:] != gid[:-1]) | (bucket[1:] != bucket[:-1])
-            fresh_one = new.copy()
-            fresh_one[1:] |= token[1:] != token[:-1]
-            bucket, gid, token, place, size, cluster, new = (x[fresh_one] for x in (bucket, gid, token, place, size, cluster, new))
-            head = np.flatnonzero(new)
-            count = np.diff(np.append(head, len(gid))).astype(np.uint32)
-            ids, blobs = [], []
-            edges, hedges = np.searchsorted(bucket, np.arange(buckets + 1)), np.searchsorted(bucket[head], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(edges)):
-                h, e = slice(hedges[b], hedges[b + 1]), slice(edges[b], edges[b + 1])
-                k = head[h]
-                ids.append(int(b))
-                blobs.append(b"".join((np.uint32(len(k)).tobytes(), gid[k].tobytes(), cluster[k].tobytes(), size[k].tobytes(), count[h].tobytes(), token[e].tobytes(), place[e].tobytes())))
-            m = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())],
-                names=["bucket", "blob", "cid", "cluster", "block", "blocks", "n"],
-            )
+                parts.append((bucket.astype(np.int32), gid[r], token, (place * 256 // size[prow]).astype(np.uint8), size[prow].astype(np.uint32), cluster[r]))
+                held += len(r)
+                if held > HELD:
+                    yield postings(parts)
+                    parts, held = [], 0
+        if parts:
+            yield postings(parts)
+        trim()
 
     return of
 
@@ -359,6 +369,8 @@ def _meet(t: Fraction):
         pair, shared = fold()
         x, y = (pair // np.uint64(len(groups) or 1)).astype(np.int64), (pair % np.uint64(len(groups) or 1)).astype(np.int64)
         must = np.minimum(LEAST, overlap(size[x], size[y], t))
+        del found, who, place, token, partners, reach
+        trim()
         return pa.table({"ga": groups[x], "gb": groups[y], "n": shared.astype(np.int32), "must": must.astype(np.int32)})
 
     return of
@@ -427,6 +439,7 @@ def _verify(t: Fraction):
             if len(rows) > 1:
                 out.append(cell(cid[rows], n[rows], side[rows], [_unpacked(blobs[int(i)].as_py()) for i in rows], low[rows[0]] == high[rows[0]]))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+        trim()
         return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("cid", "links", "root"), columns, strict=True)})
 
     return of
@@ -466,7 +479,7 @@ def similar(docs: DataFrame, n: int = 2, threshold: float = 0.7) -> tuple[DataFr
         classes.join(placed, "cid", "left").select("cid", "rep", "n", "size", cluster.alias("cluster"), F.xxhash64("gid", cluster).alias("gid"), F.coalesce("block", F.lit(0)).alias("block"), F.coalesce("blocks", F.lit(0)).alias("blocks"))
     )
     grams, several = sorted_out.agg(F.sum("size"), F.sum(F.when(F.col("blocks") > 0, F.col("size") * F.col("blocks")))).first()
-    buckets = max(32, int((grams or 0) * (1 - t) // 2_000_000))
+    buckets = max(32, int((grams or 0) * (1 - t) // BUCKET))
     text = base.select(F.col("_row").alias("rep"), "text")
     chosen = sorted_out.select("rep", "cid", "cluster", "gid", "n", "block", "blocks").join(text, "rep").select("cid", "cluster", "gid", "n", "block", "blocks", "text")
     spread = cut(chosen.mapInArrow(_spread(n, t, level, buckets), _SPREAD))

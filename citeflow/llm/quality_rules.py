@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeflow.llm.common import chunks, cut, fresh
+from citeflow.llm.common import chunks, cut, fresh, trim
 from citeflow.llm.features import NAMES, dense, stop_hashes
 
 MIN_WORDS = 8
@@ -64,6 +64,7 @@ def vote_code(text: Column) -> Column:
 
     def of(col: pa.Array) -> pa.Array:
         parts = [pack(vote(dense(data, at, stop))) for _, _, data, at in chunks(col)]
+        trim()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
 
     return F.arrow_udf(of, "bigint")(text.cast("string"))

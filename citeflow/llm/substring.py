@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeflow.llm.common import NOT_SPACE, chunks, cut, fresh, mix, row_key, shared_dir, word_hashes, words
+from citeflow.llm.common import NOT_SPACE, chunks, cut, fresh, mix, row_key, shared_dir, trim, word_hashes, words
 
 WINDOW = 50
 GRAM = 25
@@ -99,6 +99,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 new[1:] = (r[1:] != r[:-1]) | (fp[1:] != fp[:-1])
                 key = batch.column(0).slice(lo, hi - lo).take(pa.array(r[new]))
                 yield pa.RecordBatch.from_arrays([pa.array(fp[new].view(np.int64)), key, pa.array(twice[new].astype(np.int32) + 1)], names=["fp", "row", "n"])
+        trim()
 
     return docs.select("_row", "text").mapInArrow(of, "fp bigint, row bigint, n int")
 
@@ -271,6 +272,7 @@ def _records(batches, buckets: int):
                 yield from out()
     if held:
         yield from out()
+    trim()
 
 
 def _decide(table: pa.Table) -> pa.Table:
@@ -301,6 +303,7 @@ def _decide(table: pa.Table) -> pa.Table:
     itself = (row[record][by[owner]] == row[record][later]) & (place[by[owner]] == place[later])
     later = later[~itself]
     np.bitwise_or.at(mask, record[later], (np.uint32(1) << inside[later].astype(np.uint32)).astype(np.uint32))
+    trim()
     use = mask > 0  # what was told before is told again: masks are joined
     return pa.table({"row": row[use], "pos": pos[use].astype(np.int32), "mask": mask[use].astype(np.int64)})
 
