@@ -46,6 +46,8 @@ FAN_IN = 128
 BLOCK = 1024
 #: Postings that a task holds before it hands them on, and postings to a bucket.
 HELD, BUCKET = 1_000_000, 1_000_000
+#: Pairs of postings that are looked at together; four times as many distinct pairs are held before they are counted.
+PAIRS = 500_000
 #: Pairs between clusters up to which the keys of their texts (16 bytes each) are broadcast; beyond, texts are moved.
 FEW = 500_000
 _BITS = np.uint64(52)
@@ -351,7 +353,7 @@ def _meet(t: Fraction):
 
         held, i, edges = 0, 0, np.concatenate([[0], np.cumsum(partners)])
         while i < n:
-            j = max(i + 1, int(np.searchsorted(edges, edges[i] + 2_000_000, "right")) - 1)
+            j = max(i + 1, int(np.searchsorted(edges, edges[i] + PAIRS, "right")) - 1)
             k = partners[i:j]
             if k.sum():
                 a = np.repeat(np.arange(i, j), k)
@@ -362,7 +364,7 @@ def _meet(t: Fraction):
                 x, y = x[fits], y[fits]
                 found.append(np.unique(np.minimum(x, y).astype(np.uint64) * np.uint64(len(groups)) + np.maximum(x, y).astype(np.uint64), return_counts=True))
                 held += len(found[-1][0])
-                if held > 8_000_000:
+                if held > 4 * PAIRS:
                     found[:] = [fold()]
                     held = len(found[0][0])
             i = j
